@@ -180,8 +180,15 @@ def distributed_rounds(edges: DataFrame, k: int, broadcast_rows: int = BROADCAST
 
 def minimum_forest(edges: DataFrame) -> DataFrame:
     """One minimum spanning forest under the (cost, i, j) order."""
-    live = edges.select("i", "j", "cost", F.col("i").alias("ci"), F.col("j").alias("cj"))
     chosen = None
+    for picked, _ in contraction_steps(edges):
+        chosen = picked if chosen is None else chosen.unionByName(picked)
+    return chosen if chosen is not None else edges.select("i", "j", "cost").limit(0)
+
+
+def contraction_steps(edges: DataFrame):
+    """Yield (edges chosen, (c, root) of every contracted component) until none is left."""
+    live = edges.select("i", "j", "cost", F.col("i").alias("ci"), F.col("j").alias("cj"))
     while True:
         ends = live.select(F.explode(F.array(
             F.struct(F.col("ci").alias("c"), F.struct("cost", "i", "j", F.col("cj").alias("other")).alias("e")),
@@ -189,16 +196,14 @@ def minimum_forest(edges: DataFrame) -> DataFrame:
         )).alias("x")).select("x.*")
         best = cut(ends.groupBy("c").agg(F.min("e").alias("e")).select("c", "e.*"))
         if best.isEmpty():
-            break
-        picked = best.select("i", "j", "cost").distinct()
-        chosen = picked if chosen is None else chosen.unionByName(picked)
+            return
         root = _contract(best.select("c", F.col("other").alias("parent")))
+        yield best.select("i", "j", "cost").distinct(), root
         rows = root.count()
         for end in ("ci", "cj"):
             live = (lookup_join(live.withColumnRenamed(end, "c"), root, "c", ["i", "j"], rows, "left")
                     .withColumn(end, F.coalesce("root", "c")).drop("c", "root"))
         live = cut(live.filter("ci <> cj"))
-    return chosen if chosen is not None else edges.limit(0)
 
 
 def _contract(parents: DataFrame) -> DataFrame:
