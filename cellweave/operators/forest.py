@@ -138,7 +138,7 @@ def merge_forests(edges: DataFrame, k: int, task_edges: int = TASK_EDGES) -> Dat
         if largest > task_edges:
             return distributed_rounds(edges.select("i", "j", "cost"), k)
 
-        def prune(key, table: pa.Table) -> pa.Table:
+        def prune(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             i, j, cost = (table.column(c).to_numpy() for c in ("i", "j", "cost"))
             pick, _ = first_fit(i, j, cost, k)
             keys = [pa.array(np.full(len(pick), c.as_py(), dtype=np.int32)) for c in key]
@@ -152,9 +152,9 @@ def merge_forests(edges: DataFrame, k: int, task_edges: int = TASK_EDGES) -> Dat
         edges, total = merged, left
 
     def finish(batches):
-        table = pa.Table.from_batches(list(batches))
-        if table.num_rows:
-            i, j, cost = (table.column(c).to_numpy() for c in ("i", "j", "cost"))
+        parts = [tuple(b.column(c).to_numpy() for c in ("i", "j", "cost")) for b in batches]
+        if parts:
+            i, j, cost = (np.concatenate(c) for c in zip(*parts))
             pick, rounds = first_fit(i, j, cost, k)
             yield batch_of(("i", "j", "cost", "round"), i[pick], j[pick], cost[pick], rounds)
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.config import DEC_SETTINGS, GMM_SETTINGS
 from cellweave.functions import expressions as X
 from cellweave.model import Experiment
 from cellweave.operators import annotate as A
@@ -17,6 +19,7 @@ from cellweave.operators import similarity as S
 from cellweave.operators.keys import lookup_join
 from cellweave.operators.kmeans import kmeans
 from cellweave.operators.quantile import exact_quantiles
+from cellweave.plans import methods
 from cellweave.plans import sql as Q
 from cellweave.sources import tables as B
 from cellweave.sources.tables import Tables
@@ -56,6 +59,7 @@ def _shape(exp: Experiment) -> tuple[int, int]:
 
 def _pearson(t: Tables) -> tuple[S.Similarity, Experiment, int]:
     exp = _normalized(t)
+    exp = exp.with_(expr=N.cut(exp.expr), cells=N.cut(exp.cells))
     n_cells, n_genes = _shape(exp)
     return S.pearson(exp.expr, exp.cells, n_cells, n_genes), exp, n_cells
 
@@ -290,8 +294,12 @@ def louvain_communities(t):
 
 @query()
 def kmst_clusters(t):
-    from cellweave.plans.methods import kmst
-    return kmst(B.supplier_experiment(t), "variance", top=TOP)
+    return methods.kmst(B.supplier_experiment(t), "variance", top=TOP)
+
+
+@query()
+def kmst_union_clusters(t):
+    return methods.kmst_union(B.supplier_experiment(t)).clusters
 
 
 # --- annotation -----------------------------------------------------------------------------------
@@ -503,6 +511,30 @@ def kmeans_latent(t):
     return labels.select(F.col("id").alias("vec_id"), "cluster")
 
 
+# Short training for the catalogue; the methods default to the full budgets.
+_BRIEF = {"pretrain_epochs": 40, "epochs": 10}
+
+
+@query()
+def autoencoder_gmm(t):
+    result = methods.ae_gmm(B.supplier_experiment(t), 4, replace(GMM_SETTINGS, **_BRIEF), restarts=4)
+    return result.clusters.select("cell", "cluster")
+
+
+@query()
+def autoencoder_dec(t):
+    result = methods.dec(B.supplier_experiment(t), 4, replace(DEC_SETTINGS, **_BRIEF), restarts=4)
+    return result.clusters.select("cell", "cluster")
+
+
+@query()
+def estimate_n_clusters(t):
+    points = B.latent_points(t)
+    width = points.select(F.max(F.size("z"))).first()[0]
+    from cellweave.operators.autoencoder import estimate_clusters
+    return t.spark.createDataFrame([(estimate_clusters(points, points.count(), width),)], "n_clusters long")
+
+
 # --- constraints ------------------------------------------------------------------------------------
 
 @query(Q.constraints(Q.LABEL_RULE, flip=0.05))
