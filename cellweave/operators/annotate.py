@@ -41,10 +41,10 @@ class Matching:
         common = cut(dense_index(common, ["symbol"], "column"))
         self.n_genes = common.count()
         wanted = cut(symbols.join(common, "symbol").select("gene", "column"))
-        self.cells = exp.cells
-        self.n_cells = exp.cells.count()
-        self.expr = (lookup_join(exp.expr, wanted, "gene", ["cell"], self.n_genes)
-                     .select("cell", F.col("column").alias("gene"), "value"))
+        self.cells = cut(exp.cells)
+        self.n_cells = self.cells.count()
+        self.expr = cut(lookup_join(exp.expr, wanted, "gene", ["cell"], self.n_genes)
+                        .select("cell", F.col("column").alias("gene"), "value"))
         known = lookup_join(means, common, "symbol", PROFILE, self.n_genes)
         self.atlas = (known.join(F.broadcast(self.profiles) if self.n_profiles < 100_000 else self.profiles, PROFILE)
                       .select(F.col("profile").alias("cell"), F.col("column").alias("gene"), F.col("mean").alias("value"))

@@ -56,29 +56,42 @@ def size_factors(totals: DataFrame, median: float | None = None) -> DataFrame:
     return totals.withColumn("size_factor", F.col("n_counts") / F.lit(median))
 
 
-def scale_depth(expr: DataFrame, totals: DataFrame, median: float, log: bool = True) -> DataFrame:
+def scale_depth(expr: DataFrame, totals: DataFrame, median: float, log: bool = True,
+                n_cells: int | None = None) -> DataFrame:
     """value * median / n_counts, then ln(1 + x) when ``log``."""
     value = F.col("value") * (F.lit(median) / F.col("n_counts"))
-    return (lookup_join(expr, totals.select("cell", "n_counts"), "cell", ["gene"])
+    return (lookup_join(expr, totals.select("cell", "n_counts"), "cell", ["gene"], n_cells)
             .select("cell", "gene", (F.log1p(value) if log else value).alias("value")))
 
 
 def normalize(exp: Experiment, filter_min_counts: bool = True, size_factor: bool = True,
               log: bool = True) -> Experiment:
-    """Filter, depth-normalise and log-transform; ``cells`` gains n_counts and size_factor."""
-    expr = exp.expr
+    """Filter, depth-normalise and log-transform; ``cells`` gains n_counts and size_factor.
+
+    The matrix is materialised once. Where nothing fails a filter, which is the rule
+    for counts, no join is planned for it; dropped cells leave through the join that
+    brings each entry its depth.
+    """
+    expr = cut(exp.expr)
     if filter_min_counts:
-        expr = drop_sparse(drop_sparse(expr, "gene"), "cell")
+        failing = expr.groupBy("gene").agg(F.sum("value").alias("t")).filter("t < 1").select("gene")
+        if not failing.isEmpty():
+            expr = cut(expr.join(failing, "gene", "left_anti"))
     totals = cut(cell_totals(expr))
+    kept = totals.filter("n_counts >= 1") if filter_min_counts else totals
+    n_kept = kept.count()
+    raw = expr
+    if n_kept < totals.count():
+        raw = lookup_join(expr, kept.select("cell"), "cell", ["gene"], n_kept, "left_semi")
     if size_factor:
-        totals = size_factors(totals)
-        median = median_depth(totals)
-        norm = scale_depth(expr, totals, median, log)
+        median = median_depth(kept)
+        kept = size_factors(kept, median)
+        norm = scale_depth(expr, kept, median, log, n_kept)
     else:
-        totals = totals.withColumn("size_factor", F.lit(1.0))
-        norm = expr.withColumn("value", F.log1p("value")) if log else expr
-    cells = exp.cells.join(totals, "cell", "inner" if filter_min_counts else "left")
-    return exp.with_(expr=norm, cells=cells, raw=expr)
+        kept = kept.withColumn("size_factor", F.lit(1.0))
+        norm = raw.withColumn("value", F.log1p("value")) if log else raw
+    cells = exp.cells.join(kept, "cell", "inner" if filter_min_counts else "left")
+    return exp.with_(expr=norm, cells=cells, raw=raw)
 
 
 def assert_counts(expr: DataFrame) -> None:

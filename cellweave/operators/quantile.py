@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.config import QUANTILE_ROWS
+from cellweave.session import cut
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float],
@@ -20,21 +21,28 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float],
     if n <= bound:
         row = values.agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).first()
         return list(row["q"])
+    values = cut(values)
     return [_interpolate(values, n, p, bound) for p in probs]
 
 
 def _interpolate(values: DataFrame, n: int, p: float, bound: int) -> float:
     position = (n - 1) * p
     low = math.floor(position)
-    share = position - low
-    first = order_statistic(values, low, n, bound)
-    if share == 0:
+    first, second = _neighbours(values, low, n, bound)
+    if position == low:
         return first
-    return first + (order_statistic(values, low + 1, n, bound) - first) * share
+    if second is None:
+        second = values.filter(F.col("v") > first).agg(F.min("v")).first()[0]
+    return first + (second - first) * (position - low)
 
 
 def order_statistic(values: DataFrame, rank: int, n: int, bound: int = QUANTILE_ROWS) -> float:
-    """The value of 0-based ``rank`` in ``values(v)``.
+    """The value of 0-based ``rank`` in ``values(v)``."""
+    return _neighbours(values, rank, n, bound)[0]
+
+
+def _neighbours(values: DataFrame, rank: int, n: int, bound: int) -> tuple[float, float | None]:
+    """Values of ``rank`` and ``rank + 1``; the second is None when it lies outside the band.
 
     A bounded quantile sketch proposes two pivots around the rank and exact counts
     tell which side of them the rank lies on. Each round excludes the pivots
@@ -49,19 +57,20 @@ def order_statistic(values: DataFrame, rank: int, n: int, bound: int = QUANTILE_
         lt_left, le_left, lt_right, le_right = (below + c for c in band.agg(
             F.count_if(v < left), F.count_if(v <= left),
             F.count_if(v < right), F.count_if(v <= right)).first())
-        if lt_left <= rank < le_left:
-            return left
-        if lt_right <= rank < le_right:
-            return right
+        for pivot, lo, hi in ((left, lt_left, le_left), (right, lt_right, le_right)):
+            if lo <= rank < hi:
+                return pivot, pivot if rank + 1 < hi else None
         if rank < lt_left:
             band, inside = band.filter(v < left), lt_left - below
         elif rank >= le_right:
             band, below, inside = band.filter(v > right), le_right, below + inside - le_right
         else:
             band, below, inside = band.filter((v > left) & (v < right)), le_left, lt_right - le_left
-    seen = below
+    seen, first = below, None
     for row in band.groupBy("v").count().orderBy("v").collect():
         seen += row["count"]
-        if rank < seen:
-            return row["v"]
-    raise AssertionError("rank outside the counted band")
+        if first is None and rank < seen:
+            first = row["v"]
+        if first is not None and rank + 1 < seen:
+            return first, row["v"]
+    return first, None
