@@ -133,7 +133,8 @@ def merge_forests(edges: DataFrame, k: int, task_edges: int = TASK_EDGES) -> Dat
     edges = cut(edges)
     total = edges.count()
     while total > task_edges:
-        groups = edges.groupBy((F.col("bi") / 4).cast("int").alias("bi"), (F.col("bj") / 4).cast("int").alias("bj"))
+        quarter = lambda c: F.floor(F.col(c) / 4).cast("int").alias(c)
+        groups = edges.select(quarter("bi"), quarter("bj"), "i", "j", "cost").groupBy("bi", "bj")
         largest = groups.count().agg(F.max("count")).first()[0]
         if largest > task_edges:
             return distributed_rounds(edges.select("i", "j", "cost"), k)

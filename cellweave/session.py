@@ -31,10 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     back to a temporary folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
     context = spark.sparkContext
     current = context.getCheckpointDir()
+    if configured:
+        if not current:
+            context.setCheckpointDir(configured)
+        return configured
     if current:
         return current
     if not context.master.startswith("local"):
@@ -54,3 +56,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """As ``cut``, but keeping the partitions of ``df``, for data that is scanned many times."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -29,16 +29,20 @@ def write_latent(latent: DataFrame, path: str, width: int) -> None:
     write_csv(latent.select("id", *[F.get("z", F.lit(c)).alias(str(c)) for c in range(width)]), path)
 
 
+def fixed_number(value: Column, decimals: int) -> Column:
+    return F.call_function("format_number", value, F.lit("0." + "0" * decimals))
+
+
 def short_number(value: Column) -> Column:
     """At most four decimals, half to even, at least one."""
-    text = F.rtrim(F.format_number(F.bround(value, 4), "0.0000"), F.lit("0"))
+    text = F.rtrim(fixed_number(F.bround(value, 4), 4), F.lit("0"))
     return F.when(F.endswith(text, F.lit(".")), F.concat(text, F.lit("0"))).otherwise(text)
 
 
 def write_matrix(expr: DataFrame, cells: DataFrame, genes: DataFrame, path: str, decimals: int | None = None,
                  transposed: bool = False) -> None:
     """Dense tab-separated rows, led by the row key: one line per cell, or per gene."""
-    value = F.col("value").cast("string") if decimals is None else F.format_number("value", "0." + "0" * decimals)
+    value = F.col("value").cast("string") if decimals is None else fixed_number(F.col("value"), decimals)
     row, col = ("gene", "cell") if transposed else ("cell", "gene")
     line = F.array_sort(F.collect_list(F.struct(F.col(col).alias("k"), value.alias("v"))))
     rows = densify(expr, cells, genes).groupBy(row).agg(line.alias("e"))
