@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.config import TASK_EDGES
 from cellweave.operators.keys import lookup_join
 from cellweave.operators.normalize import column_moments
 from cellweave.operators.quantile import exact_quantiles
@@ -34,21 +36,38 @@ def trend(mean, a: float, n: float, b: float):
     return F.lit(a) * mean / (F.pow(mean, F.lit(n)) + F.lit(b))
 
 
-def fit_trend(stats: DataFrame, max_steps: int = 200, tol: float = 1.5e-8) -> tuple[float, float, float]:
+def fit_trend(stats: DataFrame, max_steps: int = 200, tol: float = 1.5e-8,
+              task_rows: int = TASK_EDGES) -> tuple[float, float, float]:
     """Least-squares fit of the mean-variance trend from (1, 1, 1).
 
-    Levenberg-Marquardt where each step is one aggregate over the gene table: it
-    tries several damping values at once and returns, for each, the error and the
-    normal equations there. Only 3x3 systems reach the driver.
+    Levenberg-Marquardt whose every step scores several damping values at once. A
+    counted, bounded gene table is fitted inside one task; for a larger one each
+    step is one pass that returns only sums.
     """
     data = cut(stats.filter("mean > 0").select("mean", "var_pop"))
+    if data.count() > task_rows:
+        return _marquardt(lambda thetas: _distributed_sums(data, thetas), max_steps, tol)
+
+    def fit(batches):
+        held = [(b["mean"].to_numpy(), b["var_pop"].to_numpy()) for b in batches]
+        if held:
+            mean, var = (np.concatenate(c) for c in zip(*held))
+            theta = _marquardt(lambda thetas: _sums(mean, var, thetas), max_steps, tol)
+            yield pd.DataFrame([theta], columns=["a", "n", "b"])
+
+    row = data.coalesce(1).mapInPandas(fit, "a double, n double, b double").first()
+    return (row["a"], row["n"], row["b"]) if row else (1.0, 1.0, 1.0)
+
+
+def _marquardt(score, max_steps: int, tol: float) -> tuple[float, float, float]:
+    """``score(thetas)`` gives, per candidate, (error, J'J, J'r)."""
     theta, damping = np.ones(3), 1e-3
-    (sse, jtj, jtr), = _normal_equations(data, [theta])
+    (sse, jtj, jtr), = score([theta])
     for _ in range(max_steps):
         scale = np.diag(np.maximum(np.diag(jtj), 1e-300))
         dampings = [damping * 10.0 ** e for e in (-2, -1, 0, 1, 2, 4)]
         trials = [theta + np.linalg.lstsq(jtj + d * scale, jtr, rcond=None)[0] for d in dampings]
-        scored = _normal_equations(data, trials)
+        scored = score(trials)
         best = min(range(len(trials)), key=lambda t: scored[t][0])
         new_sse = scored[best][0]
         if not new_sse < sse:
@@ -59,39 +78,37 @@ def fit_trend(stats: DataFrame, max_steps: int = 200, tol: float = 1.5e-8) -> tu
         gain, step = sse - new_sse, np.linalg.norm(trials[best] - theta)
         theta, damping = trials[best], max(dampings[best], 1e-12)
         sse, jtj, jtr = scored[best]
-        if gain <= tol * sse and step <= tol * (np.linalg.norm(theta) + tol):
-            break
-        if sse == 0:
+        if sse == 0 or (gain <= tol * sse and step <= tol * (np.linalg.norm(theta) + tol)):
             break
     return tuple(float(t) for t in theta)
 
 
-def _normal_equations(data: DataFrame, thetas: list[np.ndarray]):
-    """For every candidate: squared error, J'J and J'r, all in one pass."""
-    outputs = []
-    m, v = F.col("mean"), F.col("var_pop")
-    for c, (a, n, b) in enumerate(map(lambda t: map(float, t), thetas)):
-        power = F.pow(m, F.lit(n))
-        base = power + F.lit(b)
-        jac = [m / base, -F.lit(a) * m * power * F.log(m) / (base * base), -F.lit(a) * m / (base * base)]
-        res = v - F.lit(a) * m / base
-        terms = {f"e{c}": res * res}
-        for i in range(3):
-            terms[f"r{c}_{i}"] = jac[i] * res
-            for j in range(i, 3):
-                terms[f"j{c}_{i}{j}"] = jac[i] * jac[j]
-        outputs += [F.sum(F.when(base != 0, t)).alias(name) for name, t in terms.items()]
-    row = data.agg(*outputs).first()
-    result = []
-    for c in range(len(thetas)):
-        sse = row[f"e{c}"]
-        sse = np.inf if sse is None or not np.isfinite(sse) else sse
-        jtj = np.array([[row[f"j{c}_{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)], dtype=float)
-        jtr = np.array([row[f"r{c}_{i}"] for i in range(3)], dtype=float)
-        if not (np.isfinite(jtj).all() and np.isfinite(jtr).all()):
-            sse, jtj, jtr = np.inf, np.eye(3), np.zeros(3)
-        result.append((sse, jtj, jtr))
-    return result
+def _sums(m: np.ndarray, v: np.ndarray, thetas) -> list[tuple]:
+    out = []
+    with np.errstate(all="ignore"):
+        for a, n, b in thetas:
+            power = m ** n
+            base = power + b
+            jac = np.stack([m / base, -a * m * power * np.log(m) / base ** 2, -a * m / base ** 2])
+            res = v - a * m / base
+            sse, jtj, jtr = float(res @ res), jac @ jac.T, jac @ res
+            finite = np.isfinite(sse) and np.isfinite(jtj).all() and np.isfinite(jtr).all()
+            out.append((sse, jtj, jtr) if finite else (np.inf, np.eye(3), np.zeros(3)))
+    return out
+
+
+def _distributed_sums(data: DataFrame, thetas) -> list[tuple]:
+    """One pass: every task returns the sums of its rows, one row per candidate."""
+    def partial(batches):
+        for b in batches:
+            for c, (sse, jtj, jtr) in enumerate(_sums(b["mean"].to_numpy(), b["var_pop"].to_numpy(), thetas)):
+                yield pd.DataFrame({"c": c, "pos": range(13), "s": [sse, *jtj.ravel(), *jtr]})
+
+    rows = data.mapInPandas(partial, "c int, pos int, s double").groupBy("c", "pos").agg(F.sum("s").alias("s")).collect()
+    table = np.zeros((len(thetas), 13))
+    for r in rows:
+        table[r["c"], r["pos"]] = r["s"]
+    return [(t[0], t[1:10].reshape(3, 3), t[10:]) for t in table]
 
 
 def trend_excess(stats: DataFrame, theta: tuple[float, float, float]) -> DataFrame:

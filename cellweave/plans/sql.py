@@ -94,7 +94,7 @@ JOIN supplier a ON a.s_suppkey = F.i JOIN supplier b ON b.s_suppkey = F.j"""
 
 
 def modularity(gamma: float) -> str:
-    return f"""SELECT round((SELECT sum(cost) FILTER (ci = cj) / sum(cost) FROM ({_ENDS})) - {gamma} *
+    return f"""SELECT round((SELECT coalesce(sum(cost) FILTER (ci = cj), 0) / sum(cost) FROM ({_ENDS})) - {gamma} *
 (SELECT sum((d / (2 * (SELECT sum(cost) FROM F))) ^ 2) FROM (SELECT c, sum(cost) AS d FROM
 (SELECT ci AS c, cost FROM ({_ENDS}) UNION ALL SELECT cj, cost FROM ({_ENDS})) GROUP BY c)), 6) + 0.0 AS q"""
 
@@ -113,7 +113,7 @@ G AS (SELECT count(*)::DOUBLE AS n FROM SG),
 E AS (SELECT o_custkey AS cell, p_name AS symbol, sum(l_quantity) AS value FROM L WHERE p_name IN (SELECT symbol FROM SG) GROUP BY ALL),
 CE AS (SELECT c.cell, coalesce(sum(value), 0) AS s1, coalesce(sum(value * value), 0) AS s2 FROM (SELECT DISTINCT o_custkey AS cell FROM L) c LEFT JOIN E USING (cell) GROUP BY c.cell),
 B AS (SELECT pid, symbol, mean AS value FROM AM JOIN PR USING (tissue, type, cluster) WHERE symbol IN (SELECT symbol FROM SG)),
-BE AS (SELECT pid, sum(value) AS s1, sum(value * value) AS s2 FROM B GROUP BY pid),
+BE AS (SELECT PR.pid, coalesce(sum(value), 0) AS s1, coalesce(sum(value * value), 0) AS s2 FROM PR LEFT JOIN B ON B.pid = PR.pid GROUP BY PR.pid),
 XY AS (SELECT cell, pid, sum(E.value * B.value) AS xy FROM E JOIN B USING (symbol) GROUP BY ALL),
 CR AS (SELECT c.cell, b.pid, tissue, type, cluster, round((n * coalesce(xy, 0) - c.s1 * b.s1)
 / nullif(sqrt((n * c.s2 - c.s1 * c.s1) * (n * b.s2 - b.s1 * b.s1)), 0), 12) AS r

@@ -213,6 +213,7 @@ def test_trend_fit_finds_the_curve(spark):
                                   "gene long, mean double, var_pop double")
     a, n, b = stats.fit_trend(table)
     assert (a, n, b) == pytest.approx((3.0, 1.4, 2.0), rel=0.05)
+    assert stats.fit_trend(table.repartition(3), task_rows=10) == pytest.approx((a, n, b), rel=1e-4)
     fitted = a * mean / (mean ** n + b)
     assert ((var - fitted) ** 2).sum() <= ((var - 3.0 * mean / (mean ** 1.4 + 2.0)) ** 2).sum()
 
