@@ -25,8 +25,9 @@ from cellweave.config import BLOCK_ROWS
 
 # Row statistics carried in a block header, in this order.
 STATS = ("s1", "s2", "nnz", "whole")
-_CHUNK = 1024
-_BUFFER = 1_000_000
+# Columns per dense product, entries held before a product, and the cost of one
+# scattered product in products inside a matrix multiplication.
+TUNING = (1024, 1_000_000, 64)
 
 
 @dataclass
@@ -76,7 +77,8 @@ def _pack(expr: DataFrame, stats: DataFrame, blocks: int) -> DataFrame:
 
 def run_tiles(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame] | None, n_left: int,
               n_right: int | None, consumer: Callable[[Tile], Iterator[pa.RecordBatch]], schema: str,
-              support: bool = False, block_rows: int = BLOCK_ROWS, key: bool = False) -> DataFrame:
+              support: bool = False, block_rows: int = BLOCK_ROWS, key: bool = False,
+              tuning: tuple = TUNING) -> DataFrame:
     """Feed every tile of left x right (or of left x left, once per pair) to ``consumer``.
 
     ``left`` and ``right`` are (expr(cell, gene, value), stats) pairs. With ``key``
@@ -110,7 +112,7 @@ def run_tiles(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFra
     symmetric = right is None
 
     def work(batches):
-        for coords, tile in _stream(batches, symmetric, support):
+        for coords, tile in _stream(batches, symmetric, support, tuning):
             for out in consumer(tile):
                 if key:
                     n = out.num_rows
@@ -124,7 +126,8 @@ def run_tiles(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFra
 class _Building:
     """A tile while its column rows arrive."""
 
-    def __init__(self, coords, symmetric, support):
+    def __init__(self, coords, symmetric, support, tuning):
+        self.chunk, self.buffer, self.sparse_cost = tuning
         self.coords = coords
         self.diagonal = symmetric and coords[0] == coords[1]
         self.want_support = support
@@ -145,7 +148,7 @@ class _Building:
                     ids[lo:id_off[-1]], vals[val_off[s]:val_off[-1]])
             self.held.append(part)
             self.size += len(part[0])
-            if self.size > _BUFFER:
+            if self.size > self.buffer:
                 self._flush(False)
 
     def _start(self):
@@ -173,26 +176,51 @@ class _Building:
         if not len(gene):
             return
         column = np.concatenate(([0], np.cumsum(gene[1:] != gene[:-1])))
-        for first in range(0, int(column[-1]) + 1, _CHUNK):
-            a, b = np.searchsorted(column, [first, first + _CHUNK])
-            width = int(column[b - 1]) - first + 1
+        parts = []
+        for which in ((0,) if self.diagonal else (0, 1)):
+            pick = slice(None) if self.diagonal else np.flatnonzero(side == which)
+            parts.append((column[pick], np.searchsorted(self.ids[which], ids[pick]), vals[pick]))
+        self._multiply(parts[0], parts[-1], int(column[-1]) + 1)
+
+    def _multiply(self, left, right, width):
+        per_left, per_right = (np.bincount(p[0], minlength=width) for p in (left, right))
+        if float(per_left @ per_right) * self.sparse_cost < float(self.gram.size) * width:
+            return self._multiply_entries(left, right, per_right)
+        both = (per_left > 0) & (per_right > 0)
+        place = np.where(both, np.cumsum(both) - 1, -1)
+        left, right = (tuple(c[place[p[0]] >= 0] for c in (place[p[0]], p[1], p[2])) for p in (left, right))
+        for first in range(0, int(both.sum()), self.chunk):
             dense = []
-            for which in ((0,) if self.diagonal else (0, 1)):
-                pick = slice(a, b) if self.diagonal else a + np.flatnonzero(side[a:b] == which)
-                block = np.zeros((len(self.ids[which]), width))
-                block[np.searchsorted(self.ids[which], ids[pick]), column[pick] - first] = vals[pick]
+            for column, slot, value in ((left,) if self.diagonal else (left, right)):
+                a, b = np.searchsorted(column, [first, first + self.chunk])
+                block = np.zeros((len(self.ids[len(dense)]), self.chunk))
+                block[slot[a:b], column[a:b] - first] = value[a:b]
                 dense.append(block)
             self.gram += dense[0] @ dense[-1].T
             if self.support is not None:
                 self.support += (dense[0] != 0).astype(np.float32) @ (dense[-1] != 0).astype(np.float32).T
 
+    def _multiply_entries(self, left, right, per_right):
+        """Products of the stored entries only, for columns that few rows share."""
+        start = np.concatenate(([0], np.cumsum(per_right)))
+        lens = per_right[left[0]]
+        for lo in range(0, len(lens), 50_000):
+            part = slice(lo, lo + 50_000)
+            count = lens[part]
+            base = np.concatenate(([0], np.cumsum(count)[:-1]))
+            other = np.repeat(start[left[0][part]] - base, count) + np.arange(int(count.sum()))
+            cell = np.repeat(left[1][part], count) * self.gram.shape[1] + right[1][other]
+            np.add.at(self.gram.reshape(-1), cell, np.repeat(left[2][part], count) * right[2][other])
+            if self.support is not None:
+                np.add.at(self.support.reshape(-1), cell, 1.0)
+
     def finish(self) -> Tile:
         self._flush(True)
         return Tile(self.ids[0], self.ids[1], self.stats[0], self.stats[1],
                     self.gram, self.support, self.diagonal)
 
 
-def _stream(batches, symmetric, support):
+def _stream(batches, symmetric, support, tuning):
     current = None
     for batch in batches:
         if not batch.num_rows:
@@ -208,7 +236,7 @@ def _stream(batches, symmetric, support):
             if current is None or current.coords != coords:
                 if current is not None:
                     yield current.coords, current.finish()
-                current = _Building(coords, symmetric, support)
+                current = _Building(coords, symmetric, support, tuning)
             current.add(kind[lo:hi], side[lo:hi], gene[lo:hi], id_flat, id_off[lo:hi + 1],
                         val_flat, val_off[lo:hi + 1])
     if current is not None:

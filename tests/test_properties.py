@@ -69,13 +69,18 @@ def skewed_matrix(spark, n=150, genes=40, seed=0):
     return dense, expr, spark.range(n).select((F.col("id") * 7).alias("cell"))
 
 
-@pytest.mark.parametrize("block_rows", [16, 2048])
-def test_tiled_correlation_is_exact(spark, block_rows, monkeypatch):
+@pytest.mark.parametrize("block_rows,cost", [(16, 1e-9), (2048, 1e9), (64, 64)])
+def test_tiled_correlation_is_exact(spark, block_rows, cost):
+    """Dense and entry-wise products, many and few blocks, columns split over buffers."""
     dense, expr, rows = skewed_matrix(spark)
-    monkeypatch.setattr(tiles, "_BUFFER", 50)
-    monkeypatch.setattr(tiles, "_CHUNK", 7)
-    sim = S.pearson(expr, rows, len(dense), dense.shape[1])
-    found = sim._run(S._emit_pairs(sim.measure, None), S.PAIR_SCHEMA, block_rows=block_rows).collect()
+
+    def measure(tile, inner=S._pearson_measure(dense.shape[1])):
+        return inner(tile)
+
+    side = (expr, tiles.row_stats(expr, rows))
+    emit = S._emit_pairs(measure, None)
+    found = tiles.run_tiles(side, None, len(dense), None, emit, S.PAIR_SCHEMA, True, block_rows=block_rows,
+                            tuning=(7, 50, cost)).collect()
     expected = np.corrcoef(dense)
     assert len(found) == len(dense) * (len(dense) - 1) // 2
     for r in found:
