@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Rows of a unique-key lookup side that may be broadcast (two or three numbers per row).
-BROADCAST_ROWS = 500_000
+# Values (rows x columns, array entries counted) of a lookup side that may be broadcast.
+BROADCAST_VALUES = 2_000_000
 # Values an exact quantile may hold in one aggregation buffer.
 QUANTILE_ROWS = 500_000
 # Edges that one task may finish with array code.
@@ -19,7 +19,9 @@ TASK_EDGES = 4_000_000
 MODEL_BYTES = 1 << 30
 # Rows of a block of the similarity tiling; a tile holds block x block doubles.
 BLOCK_ROWS = 2048
-# Replicas of a lookup side when a join is salted.
+# Bytes of one packed block of dense vectors.
+BLOCK_BYTES = 32 << 20
+# Least number of replicas of a lookup side when a join is salted.
 SALTS = 16
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.model import Experiment
-from cellweave.operators.keys import dense_index, lookup_join
+from cellweave.operators.keys import dense_index, lookup_join, may_broadcast
 from cellweave.operators.normalize import dedup_symbols
 from cellweave.operators.similarity import best_match, cross_pearson
 from cellweave.session import cut
@@ -46,7 +46,8 @@ class Matching:
         self.expr = cut(lookup_join(exp.expr, wanted, "gene", ["cell"], self.n_genes)
                         .select("cell", F.col("column").alias("gene"), "value"))
         known = lookup_join(means, common, "symbol", PROFILE, self.n_genes)
-        self.atlas = (known.join(F.broadcast(self.profiles) if self.n_profiles < 100_000 else self.profiles, PROFILE)
+        named = F.broadcast(self.profiles) if may_broadcast(self.profiles, self.n_profiles) else self.profiles
+        self.atlas = (known.join(named, PROFILE)
                       .select(F.col("profile").alias("cell"), F.col("column").alias("gene"), F.col("mean").alias("value"))
                       .filter("value <> 0"))
         self.atlas_rows = self.profiles.select(F.col("profile").alias("cell"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.config import BROADCAST_ROWS, TASK_EDGES
+from cellweave.config import TASK_EDGES
 from cellweave.operators.keys import lookup_join
 from cellweave.operators.similarity import Similarity, batch_of, oriented_pairs
 from cellweave.session import cut
@@ -162,7 +162,7 @@ def merge_forests(edges: DataFrame, k: int, task_edges: int = TASK_EDGES) -> Dat
     return edges.select("i", "j", "cost").coalesce(1).mapInArrow(finish, EDGE_SCHEMA)
 
 
-def distributed_rounds(edges: DataFrame, k: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def distributed_rounds(edges: DataFrame, k: int) -> DataFrame:
     """k forests by repeated nearest-neighbour contraction, all on tables.
 
     In each step every component takes its lightest outgoing edge (an aggregate

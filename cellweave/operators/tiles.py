@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.config import BLOCK_ROWS
+from cellweave.config import BLOCK_BYTES, BLOCK_ROWS
 
 # Row statistics carried in a block header, in this order.
 STATS = ("s1", "s2", "nnz", "whole")
@@ -253,7 +253,8 @@ def run_vector_tiles(points: DataFrame, n: int, consumer, schema: str, extra: st
     """
     spark = points.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    blocks = block_count(n, cores, block_rows)
+    width = points.agg(F.max(F.size("z"))).first()[0] or 1
+    blocks = block_count(n, cores, max(1, min(block_rows, BLOCK_BYTES // (8 * width))))
     fields = ["id", "z"] + ([extra] if extra else [])
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
     packed = (points.groupBy(block).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
