@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 from cellweave.operators import tiles
 from cellweave.operators.keys import lookup_join
 from cellweave.operators.similarity import batch_of, distance_block, euclidean_pairs
-from cellweave.session import cut
+from cellweave.session import cut, ship
 
 
 # --- against reference labels: df(y_true, y_pred) ----------------------------------------
@@ -136,6 +136,7 @@ def vector_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def own_distances(points: DataFrame, centers: DataFrame) -> DataFrame:
     """(id, label, d): distance of each point to the centroid of its label."""
+    ship(points.sparkSession)
     joined = lookup_join(points, centers.select("label", "mu"), "label", ["id"])
     return joined.select("id", "label", vector_distance("z", "mu").alias("d"))
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.config import BLOCK_BYTES, BLOCK_ROWS
+from cellweave.session import ship
 
 # Row statistics carried in a block header, in this order.
 STATS = ("s1", "s2", "nnz", "whole")
@@ -84,7 +85,7 @@ def run_tiles(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFra
     ``left`` and ``right`` are (expr(cell, gene, value), stats) pairs. With ``key``
     the output carries its tile coordinates ``bi``, ``bj`` in front.
     """
-    spark = left[0].sparkSession
+    spark = ship(left[0].sparkSession)
     cores = spark.sparkContext.defaultParallelism
     nl = block_count(n_left, cores, block_rows)
     packed = _pack(*left, nl)
@@ -251,7 +252,7 @@ def run_vector_tiles(points: DataFrame, n: int, consumer, schema: str, extra: st
 
     ``consumer(ids_l, z_l, x_l, ids_r, z_r, x_r, diagonal)`` yields record batches.
     """
-    spark = points.sparkSession
+    spark = ship(points.sparkSession)
     cores = spark.sparkContext.defaultParallelism
     width = points.agg(F.max(F.size("z"))).first()[0] or 1
     blocks = block_count(n, cores, max(1, min(block_rows, BLOCK_BYTES // (8 * width))))

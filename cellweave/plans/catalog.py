@@ -21,6 +21,7 @@ from cellweave.operators.kmeans import kmeans
 from cellweave.operators.quantile import exact_quantiles
 from cellweave.plans import methods
 from cellweave.plans import sql as Q
+from cellweave.session import ship
 from cellweave.sources import tables as B
 from cellweave.sources.tables import Tables
 
@@ -35,7 +36,7 @@ COMPONENT = 0.05
 def query(sql: str | None = None):
     def register(function):
         name = function.__name__
-        QUERIES[name] = lambda spark, folder: function(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: function(Tables(ship(spark), folder))
         if sql is not None:
             ORACLES[name] = sql
         return function

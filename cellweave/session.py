@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,26 @@ def get_spark(app: str = "cellweave", master: str | None = None, **conf: str) ->
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    Spark distributes the archive itself, so the package need not be installed on
+    the executors, nor the driver be started from its folder.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cellweave_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cellweave-code-")) / "cellweave.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._cellweave_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +73,7 @@ def cut(df: DataFrame) -> DataFrame:
     Iterative operators call this each round: the plan stays short, lost executors
     re-read files instead of replaying the rounds, and the optimizer knows the size.
     """
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,5 +81,5 @@ def cut(df: DataFrame) -> DataFrame:
 
 def pin(df: DataFrame) -> DataFrame:
     """As ``cut``, but keeping the partitions of ``df``, for data that is scanned many times."""
-    shared_dir(df.sparkSession)
+    shared_dir(ship(df.sparkSession))
     return df.checkpoint(eager=True)
