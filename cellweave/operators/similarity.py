@@ -67,14 +67,14 @@ def batch_of(names, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(names))
 
 
-def _emit_pairs(measure: Measure, threshold: float | None):
+def _emit_pairs(measure: Measure, threshold: float | None, inclusive: bool = False):
     def consume(tile: Tile) -> Iterator[pa.RecordBatch]:
         score = measure(tile)
         step = max(1, 200_000 // max(1, score.shape[1]))
         for lo in range(0, score.shape[0], step):
             i, j, r = oriented_pairs(tile, score, slice(lo, min(lo + step, score.shape[0])))
             if threshold is not None:
-                keep = r > threshold
+                keep = r >= threshold if inclusive else r > threshold
                 i, j, r = i[keep], j[keep], r[keep]
             yield batch_of("ijr", i, j, r)
     return consume
@@ -96,9 +96,12 @@ class Similarity:
         side = (self.expr, self.stats)
         return tiles.run_tiles(side, None, self.n_rows, None, consumer, schema, self.support, **kw)
 
-    def pairs(self, threshold: float | None = None) -> DataFrame:
-        """(i, j, r) with i < j; undefined r is NULL, and absent under a threshold."""
-        return self._run(_emit_pairs(self.measure, threshold), PAIR_SCHEMA)
+    def pairs(self, threshold: float | None = None, inclusive: bool = False) -> DataFrame:
+        """(i, j, r) with i < j; undefined r is NULL, and absent under a threshold.
+
+        A threshold (r above it, or at it when ``inclusive``) is applied inside the tiles.
+        """
+        return self._run(_emit_pairs(self.measure, threshold, inclusive), PAIR_SCHEMA)
 
     def histogram(self) -> DataFrame:
         """Pairs per bin trunc(10 r + 10), 0..20; undefined r counts in bin 0."""

@@ -222,8 +222,7 @@ def correlation_histogram(t):
 
 @query(Q.PEARSON + f"SELECT i, j, round(r, 6) AS weight FROM S WHERE r >= {LINK}")
 def threshold_graph(t):
-    pairs = _pearson(t)[0].pairs()
-    return graph.threshold_graph(pairs, LINK).select("i", "j", r6("weight").alias("weight"))
+    return graph.threshold_graph(_pearson(t)[0], LINK).select("i", "j", r6("weight").alias("weight"))
 
 
 @query(Q.KNN)
