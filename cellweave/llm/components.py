@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         state = cut(_small(_large(state).select("a", "b")).select("a", "b"))
-        now = state.agg(F.count("*"), F.sum("a"), F.sum("b"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
+        now = state.agg(F.count("*"), *[F.sum(F.xxhash64("a", "b", F.lit(k)) % (1 << 31)) for k in (0, 1)]).first()
         if now == before:
             break
         before = now
