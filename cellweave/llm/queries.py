@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import simhash
+from cellweave.llm import arrays as A
+from cellweave.llm import mixing, pieces, simhash, toxicity
 from cellweave.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,49 @@ def op10_simhash(table) -> DataFrame:
     return simhash.near_duplicates(table("documents")).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"))
+
+
+@query
+def op9_toxicity(table) -> DataFrame:
+    """Toxicity scores of all documents, learned from four of five folds."""
+    docs = table("documents")
+    model = toxicity.fit(docs, table("labels"), learn=A.crc_fold(F.col("doc_id"), 5) != 0)
+    held_out = F.coalesce(A.crc_fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_sentencepiece(table) -> DataFrame:
+    """Piece numbers of all documents' whole texts, each decoded again."""
+    return pieces.encode(table("documents"), keep=["doc_id"])
+
+
+@query
+def op5_mixing(table) -> DataFrame:
+    """What a mix at weights 1, 2, 3 takes of each document."""
+    return mixing.mix(table("documents")).drop("source", "epochs")
+
+
+ORACLES["op5_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                  md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
+c AS (SELECT *, cap / weight AS ratio,
+             sum(cap) OVER (ORDER BY cap / weight, source) - cap AS caps,
+             sum(weight) OVER (ORDER BY cap / weight, source) - weight AS weights FROM w),
+l AS (SELECT (t.size - c.caps) / (t.weight - c.weights) AS level
+      FROM c, (SELECT sum(source_size) AS size, sum(weight) AS weight FROM w) t
+      WHERE (t.size - c.caps) / (t.weight - c.weights) < c.ratio ORDER BY c.ratio, c.source LIMIT 1),
+g AS (SELECT source, source_size,
+             CASE WHEN cap <= weight * coalesce((SELECT level FROM l), 1e300) THEN CAST(cap AS DOUBLE)
+                  ELSE CAST(weight * (SELECT level FROM l) AS DOUBLE) END AS target FROM w),
+b AS (SELECT d.doc_id, d.size, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS budget,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
+            + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken
+FROM b"""
