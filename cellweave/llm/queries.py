@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.llm import mixing, pieces, simhash, toxicity
+from cellweave.llm import caps, language, maxscore, mixing, pieces, simhash, toxicity
 from cellweave.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,37 @@ def op5_mixing(table) -> DataFrame:
     return mixing.mix(table("documents")).drop("source", "epochs")
 
 
+@query
+def op1_language(table) -> DataFrame:
+    """Languages of all documents, learned from three of four folds."""
+    docs = table("documents")
+    fold = A.crc_fold(F.col("doc_id"), 4)
+    return language.predict(docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text"),
+                            language.fit(docs, learn=fold != 2))
+
+
+@query
+def op3_caps(table) -> DataFrame:
+    """Links, classes and representatives of near-duplicate embeddings."""
+    return caps.near_duplicates(table("embeddings"))
+
+
+@query
+def op8_maxscore(table) -> DataFrame:
+    """The five highest integer inner products of every fiftieth embedding."""
+    return maxscore.top_k(table("embeddings"), F.col("id") % 50 == 0, 5)
+
+
+ORACLES["op8_maxscore"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
 ORACLES["op5_mixing"] = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
                   md5(concat('7:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM documents),
