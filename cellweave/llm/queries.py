@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.llm import caps, language, maxscore, mixing, pieces, simhash, toxicity
+from cellweave.llm import caps, language, maxscore, mixing, pieces, simhash, substrings, toxicity
 from cellweave.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def op3_caps(table) -> DataFrame:
     return caps.near_duplicates(table("embeddings"))
 
 
+@query
+def op7_substrings(table) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    return substrings.remove_repeats(table("documents"), ["doc_id"])
+
+
 @query
 def op8_maxscore(table) -> DataFrame:
     """The five highest integer inner products of every fiftieth embedding."""
