@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.llm import caps, language, maxscore, mixing, pieces, simhash, substrings, toxicity
+from cellweave.llm import caps, chat, language, lm, maxscore, mixing, pieces, simhash, substrings, toxicity
 from cellweave.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,38 @@ def op1_language(table) -> DataFrame:
                             language.fit(docs, learn=fold != 2))
 
 
+@query
+def op2_backoff(table) -> DataFrame:
+    """Stupid-backoff scores of all documents under the counts of all documents."""
+    return lm.score(table("documents"), ["doc_id"]).select(
+        "doc_id", "n_words", (F.round("log_score", 6) + F.lit(0.0)).alias("log_score"),
+        (F.round(F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")), 6) + F.lit(0.0)).alias("mean_log_score"))
+
+
+ORACLES["op2_backoff"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+g AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS u FROM t),
+c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM g WHERE u IS NOT NULL GROUP BY u, v, w),
+s AS (SELECT g.r, CASE WHEN c3.n >= 2 THEN ln(c3.n / p2.n) WHEN c2.n >= 2 THEN ln(0.4 * c2.n / p1.n)
+                       ELSE ln(0.4 * 0.4 * c1.n / (SELECT count(*) FROM g)) END AS x
+      FROM g JOIN c1 ON g.w = c1.w LEFT JOIN c2 ON g.v = c2.v AND g.w = c2.w LEFT JOIN c3 ON g.u = c3.u AND g.v = c3.v AND g.w = c3.w
+      LEFT JOIN c1 p1 ON p1.w = g.v LEFT JOIN c2 p2 ON p2.v = g.u AND p2.w = g.v),
+a AS (SELECT r, count(*) AS n, sum(x) AS x FROM s GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(x, 0), 6) + 0.0 AS log_score,
+       round(CASE WHEN n > 0 THEN x / n END, 6) + 0.0 AS mean_log_score
+FROM d LEFT JOIN a USING (r)"""
+
+
+@query
+def op4_chat(table) -> DataFrame:
+    """All conversations, repaired and rendered."""
+    return chat.format_chats(table("conversations"))
+
+
 @query
 def op3_caps(table) -> DataFrame:
     """Links, classes and representatives of near-duplicate embeddings."""
