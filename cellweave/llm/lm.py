@@ -29,7 +29,7 @@ from cellweave.session import ship
 
 BACKOFF = 0.4
 LEAST = 2
-FINE = 4
+FINE = 1
 LEFT = np.uint64((1 << 24) - 1)
 _PACK = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 _PACKED = "block int, bucket int, kind int, body binary"
