@@ -37,11 +37,11 @@ from cellweave.session import ship
 LENGTH = 200
 GRAM = 96
 #: windows of an anchor in one batch, and in one task, from which they are spread
-HOT_BATCH, HOT_TASK = 32, 2048
+HOT_BATCH, HOT_TASK = 16, 512
 #: bytes of window text that one suffix array covers
 CHUNK = 8 << 20
 #: packed rows go to this many times as many buckets as there are partitions, so that buckets even out
-FINE = 4
+FINE = 2
 
 NORMAL, SPREAD, MARKER = 0, 1, 2
 REPEATED, OPEN, BOTH = 1, 2, 3
