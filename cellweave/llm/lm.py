@@ -68,31 +68,29 @@ class Block:
     """The words of some texts, and the keys of the n-grams that end in each of them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        words, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        words, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for first, last in A.steps(offsets):
             at = offsets[first:last + 1] - offsets[first]
             body = A.LOWER[data[offsets[first]:offsets[last]]]
             starts, ends = A.runs(~A.SPACE[body], at)
             words.append(A.range_hash(A.prefix_hash(body), starts, ends))
-            owners.append(first + A.owner_of(at, starts))
+            owners.append((first + A.owner_of(at, starts)).astype(np.int32))
         self.word, self.owner = np.concatenate(words), np.concatenate(owners)
         n = len(self.word)
         #: words that stand before this one in its text: 0, 1, or more
-        self.depth = np.zeros(n, np.int64)
+        self.depth = np.zeros(n, np.int8)
         same = self.owner[1:] == self.owner[:-1]
         self.depth[1:] += same
         self.depth[2:] += same[1:] & same[:-1]
-        back = np.zeros(n, np.uint64)
-        back[1:] = self.word[:-1]
-        left = np.zeros(n, np.uint64)
-        left[2:] = np.maximum(A.mix(self.word[:-2]) & LEFT, np.uint64(1))
-        left[self.depth < 2] = 0
-        pair = A.mix(back * np.uint64(0x9E3779B97F4A7C15) + A.mix(self.word)) & ~LEFT
-        self.gram = pair | left
-        self.words, self.word_at, self.word_count = np.unique(self.word, return_inverse=True, return_counts=True)
+        gram = A.mix(self.word)
+        gram[1:] += self.word[:-1] * np.uint64(0x9E3779B97F4A7C15)
+        gram = A.mix(gram) & ~LEFT
+        gram[2:] |= np.where(self.depth[2:] > 1, np.maximum(A.mix(self.word[:-2]) & LEFT, np.uint64(1)), np.uint64(0))
+        self.words, at, self.word_count = np.unique(self.word, return_inverse=True, return_counts=True)
+        self.word_at, self.word = at.astype(np.int32), None
         some = self.depth > 0
-        self.grams, at, self.gram_count = np.unique(self.gram[some], return_inverse=True, return_counts=True)
-        self.gram_at = np.zeros(n, np.int64)
+        self.grams, at, self.gram_count = np.unique(gram[some], return_inverse=True, return_counts=True)
+        self.gram_at = np.zeros(n, np.int32)
         self.gram_at[some] = at
 
 
