@@ -96,8 +96,8 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = M
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
         carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of ``docs(doc_id, source, text)``: the columns of ``carry``, doc_id, source, size,
-    source_size, target, taken, and epochs (whole copies).
+    """One row for each row of ``docs(doc_id, source, text)``: doc_id, source, size, source_size, target, taken, epochs
+    (whole copies), and the columns of ``carry`` as carry__name.
 
     ``size`` is the number of words (null text: 0), ``taken`` the words that the mix takes of the row, repeats counted:
     ``epochs`` times the whole text plus, for the row at its source's cut, a part of it. Each source takes its target,
@@ -105,9 +105,8 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), mo
     words take nothing (``epochs`` says how often they stand in the mix). An empty table gives no rows.
     """
     ship(docs.sparkSession)
-    extra = [c for c in carry if c not in ("doc_id", "source")]
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
-                       random_key(F.col("doc_id"), seed).alias("key__"), *[F.col(f"`{c}`").alias(f"carry__{c}") for c in extra])
+                       random_key(F.col("doc_id"), seed).alias("key__"), *[F.col(f"`{c}`").alias(f"carry__{c}") for c in carry])
     goals = targets(rows.select("source", "size"), weights, most)
     placed = prefix_sums(rows, "source", [F.col("key__"), F.col("doc_id"), F.col("size")], "size")
     goals = cut(goals.withColumnRenamed("source", "source__"))
@@ -120,7 +119,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), mo
     once = ((F.col("before") < F.col("rest__")) & (F.col("before") + F.col("size") <= F.col("rest__"))).cast("long")
     return joined.select("doc_id", "source", "size", "source_size", "target",
                          (F.col("turns__") * F.col("size") + part).alias("taken"), (F.col("turns__") + once).alias("epochs"),
-                         *[F.col(f"carry__{c}").alias(c) for c in extra])
+                         *[F.col(f"`carry__{c}`") for c in carry])
 
 
 def first_words(docs: DataFrame, count: str, text: str = "text") -> DataFrame:
@@ -150,9 +149,10 @@ def mixed_documents(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (
     """
     names = docs.columns
     rows = cut(mix(docs, seed, weights, most, carry=tuple(names)))
+    back = [F.col(f"`carry__{c}`").alias(c) for c in names]
     whole = rows.filter("epochs > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))))
     part = first_words(rows.filter(F.col("taken") > F.col("epochs") * F.col("size")).select(
-        *names, (F.col("taken") - F.col("epochs") * F.col("size")).alias("words__")), "words__")
+        *back, (F.col("taken") - F.col("epochs") * F.col("size")).alias("words__")), "words__")
     if "n_chars" in names:
         part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*names).union(part.select(*names))
+    return whole.select(*back).union(part.select(*[F.col(f"`{c}`") for c in names]))

@@ -87,12 +87,12 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` without ``text``, plus ``fp`` (long): the fingerprint of the whole text.
+    """The rows of ``docs`` without ``text``, plus ``fp`` (long): the fingerprint of the whole text. Its own ``fp`` goes.
 
     Null, empty and blank texts get fingerprint zero; a text of fewer words than a shingle is one shingle.
     """
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "fp")]
     frame = docs.select(*rest, F.col(text).cast("string").alias("text__"))
     fields = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in rest)
 

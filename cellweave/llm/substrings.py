@@ -38,8 +38,8 @@ LENGTH = 200
 GRAM = 96
 #: windows of an anchor in one batch, and in one task, from which they are spread
 HOT_BATCH, HOT_TASK = 16, 512
-#: bytes of window text that one suffix array covers
-CHUNK = 8 << 20
+#: bytes of window text that one suffix array covers, and of text whose anchors are packed together
+CHUNK = PACK = 8 << 20
 #: packed rows go to this many times as many buckets as there are partitions, so that buckets even out
 FINE = 2
 
@@ -107,23 +107,27 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _find(n: int, length: int, gram: int):
     """Batches of (uid, text) -> anchors packed by bucket."""
+    def pack(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(found)
+        order, start, group = _groups(rows["anchor"], rows["window"])
+        anchor = rows["anchor"][order][start]
+        _, kind, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        hot = count[kind] > HOT_BATCH
+        rows["kind"][order] = np.where(hot[group], SPREAD, NORMAL)
+        marks = np.zeros(len(np.unique(anchor[hot])), _ANCHOR)
+        marks["anchor"], marks["kind"] = np.unique(anchor[hot]), MARKER
+        rows = np.concatenate([rows, marks])
+        key = np.where(rows["kind"] == SPREAD, rows["anchor"] ^ rows["window"], rows["anchor"])
+        yield from A.batches(((b, 0, part.tobytes()) for b, part in A.packed(rows, _spot(key, n), n)), _PACK)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             data, offsets = A.text_buffer(batch.column(1))
-            found = list(anchors(data, offsets, batch.column(0).to_numpy(), length, gram))
-            if not found:
-                continue
-            rows = np.concatenate(found)
-            order, start, group = _groups(rows["anchor"], rows["window"])
-            anchor = rows["anchor"][order][start]
-            _, kind, count = np.unique(anchor, return_inverse=True, return_counts=True)
-            hot = count[kind] > HOT_BATCH
-            rows["kind"][order] = np.where(hot[group], SPREAD, NORMAL)
-            marks = np.zeros(len(np.unique(anchor[hot])), _ANCHOR)
-            marks["anchor"], marks["kind"] = np.unique(anchor[hot]), MARKER
-            rows = np.concatenate([rows, marks])
-            key = np.where(rows["kind"] == SPREAD, rows["anchor"] ^ rows["window"], rows["anchor"])
-            yield from A.batches(((b, 0, part.tobytes()) for b, part in A.packed(rows, _spot(key, n), n)), _PACK)
+            uid = batch.column(0).to_numpy()
+            for first, last in A.steps(offsets, PACK):
+                found = list(anchors(data, offsets[first:last + 1], uid[first:last], length, gram))
+                if found:
+                    yield from pack(found)
 
     return run
 
