@@ -9,10 +9,11 @@ from cellweave.config import DEC_SETTINGS, GMM_SETTINGS
 from cellweave.operators import annotate as A
 from cellweave.operators.autoencoder import parameter_table
 from cellweave.plans import methods
-from cellweave.session import cut, get_spark
+from cellweave.session import cut, get_spark, release
 from cellweave.sources import readers, writers
 
 
+# Names of the sub-commands and options, and their defaults.
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="cellweave")
     sub = top.add_subparsers(dest="method", required=True)
@@ -68,6 +69,7 @@ def main(argv: list[str] | None = None) -> None:
         cells = result.clusters.select("cell")
         genes = result.normalized.select("gene").distinct()
         writers.write_matrix(result.normalized, cells, genes, out("matrix.tsv"))
+        writers.write_matrix(result.counts, cells, genes, out("counts.tsv"))
         writers.write_similarity(result.similarity.pairs(), out("similarity.tsv"))
         writers.write_csv(result.similarity.histogram(), out("histogram.csv"))
         writers.write_graph(result.edges, out("graph.tsv"))
@@ -83,14 +85,17 @@ def main(argv: list[str] | None = None) -> None:
         writers.write_probabilities(result.clusters, out("gmm_clusters_prob.csv"), result.n_clusters)
         writers.write_latent(result.latent, out("Z.csv"), GMM_SETTINGS.latent)
         parameter_table(spark, result.model).write.mode("overwrite").parquet(out("model"))
-        print(methods.latent_metrics(result).first().asDict())
+        writers.write_losses(spark, result.model.losses, out("losses.csv"))
+        print(methods.scaled_metrics(result).first().asDict())
     else:
         settings = replace(DEC_SETTINGS, batch_size=args.batch_size, epochs=args.maxiter, gamma=args.gamma, tol=args.tol,
                            pretrain_epochs=args.pretrain_epochs, update_interval=args.update_interval)
         weights = spark.read.parquet(args.ae_weights) if args.ae_weights else None
         result = methods.dec(exp, args.n_clusters, settings, weights=weights)
         parameter_table(spark, result.model).write.mode("overwrite").parquet(out(args.ae_weight_file))
+        writers.write_losses(spark, result.model.losses, out("losses.csv"))
         writers.write_clusters(result.clusters.drop("size_factor"), out("scdcc_clusters.csv"))
+    release(spark)
 
 
 if __name__ == "__main__":

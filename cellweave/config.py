@@ -21,8 +21,12 @@ MODEL_BYTES = 1 << 30
 BLOCK_ROWS = 2048
 # Bytes of one packed block of dense vectors.
 BLOCK_BYTES = 32 << 20
-# Least number of replicas of a lookup side when a join is salted.
-SALTS = 16
+# Copies of the column table when a dense grid is made by a join.
+GRID_SLICES = 64
+# Entries of a contingency table that one task may match.
+MATCH_CELLS = 4_000_000
+# Columns whose square covariance the driver may hold.
+PCA_COLUMNS = 8192
 
 
 @dataclass(frozen=True)
@@ -36,6 +40,7 @@ class AutoencoderSettings:
     pretrain_epochs: int = 300
     pretrain_rate: float = 1e-4
     epochs: int = 100
+    passes: int = 10  # epochs of a shard between two averages, before targets are recomputed each epoch
     rate: float = 1e-3
     rho: float = 0.95
     alpha: float = 1.0

@@ -43,9 +43,9 @@ class Matching:
         wanted = cut(symbols.join(common, "symbol").select("gene", "column"))
         self.cells = cut(exp.cells)
         self.n_cells = self.cells.count()
-        self.expr = cut(lookup_join(exp.expr, wanted, "gene", ["cell"], self.n_genes)
+        self.expr = cut(lookup_join(exp.expr, wanted, "gene", self.n_genes)
                         .select("cell", F.col("column").alias("gene"), "value"))
-        known = lookup_join(means, common, "symbol", PROFILE, self.n_genes)
+        known = lookup_join(means, common, "symbol", self.n_genes)
         named = F.broadcast(self.profiles) if may_broadcast(self.profiles, self.n_profiles) else self.profiles
         self.atlas = (known.join(named, PROFILE)
                       .select(F.col("profile").alias("cell"), F.col("column").alias("gene"), F.col("mean").alias("value"))
@@ -59,12 +59,12 @@ class Matching:
     def correlations(self) -> DataFrame:
         """(cell, profile, tissue, type, cluster, r) for all combinations."""
         pairs = cross_pearson(*self._sides()).select(F.col("i").alias("cell"), F.col("j").alias("profile"), "r")
-        return lookup_join(pairs, self.profiles, "profile", ["cell"], self.n_profiles)
+        return lookup_join(pairs, self.profiles, "profile", self.n_profiles)
 
     def best(self) -> DataFrame:
         """(cell, tissue, type, max_corr); rows without a defined correlation get NULLs."""
         found = best_match(*self._sides()).select(F.col("i").alias("cell"), F.col("j").alias("profile"), "r")
-        named = lookup_join(found, self.profiles, "profile", ["cell"], self.n_profiles)
+        named = lookup_join(found, self.profiles, "profile", self.n_profiles)
         return self.cells.join(named.select("cell", "tissue", "type", F.col("r").alias("max_corr")), "cell", "left")
 
 

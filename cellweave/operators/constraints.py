@@ -8,12 +8,14 @@ does not give enough, a longer one is taken; the outcome does not depend on that
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators.keys import dense_index, lookup_join
+from cellweave.operators.kmeans import kmeans
 from cellweave.operators.metrics import vector_distance
 from cellweave.operators.quantile import exact_quantiles, order_statistic
 from cellweave.operators.similarity import distance_quantiles
@@ -28,7 +30,8 @@ _M1, _M2, _M3 = 48_271, 69_621, 16_807
 
 def _positions(draw: Column, n: int, seed: int) -> tuple[Column, Column]:
     mod = lambda x: F.pmod(x, F.lit(_P))
-    h1 = mod((draw + F.lit(1 + seed)) * F.lit(_M1))
+    turn = F.floor(draw / _P)  # the recurrence's period is over: go on from another start
+    h1 = mod((mod(draw) + F.lit(1 + seed) + turn * F.lit(_M3)) * F.lit(_M1))
     h2 = mod(h1 * F.lit(_M2))
     h3 = mod(h2 * F.lit(_M3))
     h4 = mod(h3 * F.lit(_M1) + F.lit(12_345))
@@ -37,35 +40,46 @@ def _positions(draw: Column, n: int, seed: int) -> tuple[Column, Column]:
     return F.pmod(h2 * F.lit(_P) + h3, size), F.pmod(h4 * F.lit(_P) + h5, size)
 
 
+def _all_positions(spark, n: int, after: int) -> DataFrame:
+    """Every pair of positions, numbered behind the draws made so far."""
+    k = F.col("id")
+    high = F.floor((F.sqrt(k * 8 + 1) + 1) / 2)
+    high = high + F.when(high * (high - 1) / 2 > k, -1).when((high + 1) * high / 2 <= k, 1).otherwise(0)  # root rounded
+    return spark.range(n * (n - 1) // 2).select((k + after).alias("draw"), (k - high * (high - 1) / 2).cast("long").alias("pa"), high.cast("long").alias("pb"))
+
+
 def draw_constraints(points: DataFrame, n: int, num: int, kind: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-                     seed: int = 0, max_draws: int = 1 << 40) -> DataFrame:
+                     seed: int = 0) -> DataFrame:
     """(draw, a, b, kind): the first ``num`` accepted draws over ``points(pos, id, ...)``.
 
     ``kind(first, second)`` is a column over the fields of both points: ML, CL or
-    NULL to reject.
+    NULL to reject. If draws give too few although there are many more of them than
+    pairs, all pairs are judged; a warning says if even these are fewer than ``num``.
     """
     spark = points.sparkSession
     fields = [c for c in points.columns if c != "pos"]
-    draws = 4 * num + 64
-    while True:
-        pairs = spark.range(draws).select(F.col("id").alias("draw"))
-        a, b = _positions(F.col("draw"), n, seed)
-        pairs = pairs.select("draw", a.alias("pa"), b.alias("pb")).filter("pa <> pb")
+
+    def judge(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             side = points.select(F.col("pos").alias("p" + end), *[F.col(f).alias(f + "_" + end) for f in fields])
-            pairs = lookup_join(pairs, side, "p" + end, ["draw"], n)
+            pairs = lookup_join(pairs, side, "p" + end, n)
         first, second = (lambda f: F.col(f + "_a")), (lambda f: F.col(f + "_b"))
-        judged = pairs.select("draw", first("id").alias("a"), second("id").alias("b"),
-                              kind(first, second).alias("kind")).filter("kind IS NOT NULL")
+        return pairs.select("draw", first("id").alias("a"), second("id").alias("b"), kind(first, second).alias("kind")).filter("kind IS NOT NULL")
+
+    draws, possible = 4 * num + 64, n * (n - 1) // 2
+    while True:
+        a, b = _positions(F.col("draw"), n, seed)
+        pairs = spark.range(draws).select(F.col("id").alias("draw")).select("draw", a.alias("pa"), b.alias("pb")).filter("pa <> pb")
+        whole = draws > 64 * (possible + 1)
+        judged = judge(pairs.union(_all_positions(spark, n, draws)) if whole else pairs)
         fresh = cut(judged.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
                     .agg(F.min(F.struct("draw", "a", "b", "kind")).alias("e")).select("e.*"))
         found = fresh.count()
-        possible = n * (n - 1) // 2
-        if found >= num or draws >= max_draws or found >= possible:
-            break
-        if draws > 64 * (possible + 1):
+        if found >= num or found >= possible or whole:
             break
         draws *= 4
+    if found < num:
+        warnings.warn(f"{num} constraints were asked for; only {found} pairs qualify", stacklevel=2)
     if found > num:
         last = order_statistic(fresh.select(F.col("draw").cast("double").alias("v")), num - 1, found)
         fresh = fresh.filter(F.col("draw") <= int(last))
@@ -105,8 +119,14 @@ def distance_constraints(points: DataFrame, num: int, near: float = 0.1, far: fl
     return draw_constraints(indexed, n, num, kind, seed)
 
 
-def cluster_constraints(points: DataFrame, num: int, far: float = 0.8, seed: int = 0) -> DataFrame:
-    """Same cluster links; different clusters farther than the ``far`` quantile must not."""
+def cluster_constraints(points: DataFrame, num: int, far: float = 0.8, seed: int = 0, n_clusters: int | None = None) -> DataFrame:
+    """Same cluster links; different clusters farther than the ``far`` quantile must not.
+
+    ``n_clusters`` clusters the points first; without it they carry a ``label``.
+    """
+    if n_clusters:
+        found, _ = kmeans(points.select("id", "z"), n_clusters)
+        points = points.select("id", "z").join(found.select("id", F.col("cluster").cast("long").alias("label")), "id")
     points = points.select(F.col("id").cast("long"), F.col("z").cast("array<double>"), "label")
     indexed, n = numbered(points)
     high, = distance_quantiles(indexed.select("id", "z"), n, [far])

@@ -202,7 +202,7 @@ def contraction_steps(edges: DataFrame):
         yield best.select("i", "j", "cost").distinct(), root
         rows = root.count()
         for end in ("ci", "cj"):
-            live = (lookup_join(live.withColumnRenamed(end, "c"), root, "c", ["i", "j"], rows, "left")
+            live = (lookup_join(live.withColumnRenamed(end, "c"), root, "c", rows, "left")
                     .withColumn(end, F.coalesce("root", "c")).drop("c", "root"))
         live = cut(live.filter("ci <> cj"))
 
@@ -216,7 +216,7 @@ def _contract(parents: DataFrame) -> DataFrame:
     while True:
         rows = state.count()
         up = state.select(F.col("c").alias("root"), F.col("root").alias("next"))
-        state2 = cut(lookup_join(state, up, "root", ["c"], rows)
+        state2 = cut(lookup_join(state, up, "root", rows)
                      .select("c", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         moved = state2.filter("moved").limit(1).count()
         state = state2.select("c", "root")

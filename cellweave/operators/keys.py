@@ -4,44 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, StringType
 
-from cellweave.config import BROADCAST_VALUES, SALTS
+from cellweave.config import BROADCAST_VALUES, GRID_SLICES
 from cellweave.session import cut
 
 
-def salt_count(spark: SparkSession) -> int:
-    """Salts that spread one key over a fair part of the shuffle."""
-    return max(SALTS, min(256, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
-
-
 def may_broadcast(df: DataFrame, rows: int) -> bool:
     """Whether a counted table is small enough, arrays at their longest included."""
     arrays = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
+    strings = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+    # a string weighs as many values as its longest has eight bytes
     values = len(df.columns)
     if rows * values > BROADCAST_VALUES:
         return False
-    if arrays and rows:
-        longest = df.agg(*[F.max(F.size(c)).alias(c) for c in arrays]).first()
-        values += sum(longest[c] or 0 for c in arrays)
+    if (arrays or strings) and rows:
+        longest = df.agg(*[F.max(F.size(c)).alias(c) for c in arrays], *[F.max(F.octet_length(c) / 8).alias(c) for c in strings]).first()
+        values += sum(longest[c] or 0 for c in (*arrays, *strings))
     return rows * values <= BROADCAST_VALUES
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: str, salt_by: list[str],
-                small_rows: int | None = None, how: str = "inner") -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, on: str, small_rows: int | None = None, how: str = "inner") -> DataFrame:
     """Join ``big`` to ``small``, whose ``on`` values are unique.
 
-    A small side of checked size is broadcast. A larger one is replicated over salts,
-    so that one key holding a large share of ``big`` is spread over many tasks.
+    A small side of checked size is broadcast. A larger one is shuffled as it is: a key that holds a large share of
+    ``big`` makes one large partition of that side, which adaptive execution splits and meets with the one row of
+    ``small`` in every piece. Nothing is copied for keys that aren't hot.
     """
     if small_rows is None:
         small_rows = small.count()
     if may_broadcast(small, small_rows):
         return big.join(F.broadcast(small), on, how)
-    salts = salt_count(big.sparkSession)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    return spread.join(salted, [on, "_salt"], how).drop("_salt")
+    return big.join(small, on, how)
 
 
 def dense_index(df: DataFrame, keys: list[str], name: str, parts: int | None = None) -> DataFrame:
@@ -69,10 +63,10 @@ def dense_index(df: DataFrame, keys: list[str], name: str, parts: int | None = N
 def grid(rows: DataFrame, cols: DataFrame, salt_by: list[str]) -> DataFrame:
     """Every (row, column) combination, for operators whose result is dense.
 
-    The column table is replicated once per task of the shuffle and met by
-    hash-spread rows, so each task produces its own slice of the dense result.
+    The column table is copied to a fixed number of slices and met by hash-spread
+    rows, so each task produces its own slice of the dense result.
     """
-    slices = 2 * max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slices = GRID_SLICES
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(slices)).cast("int"))
     copies = cols.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return spread.join(copies, "_salt").drop("_salt")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from cellweave.config import MATCH_CELLS, PCA_COLUMNS
 from cellweave.operators import tiles
 from cellweave.operators.keys import lookup_join
 from cellweave.operators.similarity import batch_of, distance_block, euclidean_pairs
@@ -17,8 +18,15 @@ from cellweave.session import cut, ship
 # --- against reference labels: df(y_true, y_pred) ----------------------------------------
 
 def align_labels(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
-    """Match (key, y_true) with (key, y_pred) by key rather than by position."""
-    return truth.join(predicted, key).select(key, "y_true", "y_pred")
+    """Match (key, y_true) with (key, y_pred) by key rather than by position.
+
+    Raises unless both sides have the same keys, each once: a score over the rest would pass for one over all.
+    """
+    both = cut(truth.join(predicted, key).select(key, "y_true", "y_pred"))
+    sides = [truth.count(), predicted.count(), both.count()]
+    if len(set(sides)) > 1 or both.select(key).distinct().count() < sides[0]:
+        raise ValueError(f"labels don't match by {key}: {sides[0]} and {sides[1]} rows, {sides[2]} in both")
+    return both
 
 
 def contingency(df: DataFrame) -> DataFrame:
@@ -33,7 +41,7 @@ def nmi(df: DataFrame) -> DataFrame:
                          .agg(-F.sum(F.col("p") * F.ln("p"))))
     rows = table.groupBy("y_true").agg(F.sum("n").alias("a"))
     cols = table.groupBy("y_pred").agg(F.sum("n").alias("b"))
-    both = lookup_join(lookup_join(table, rows, "y_true", ["y_pred"]), cols, "y_pred", ["y_true"])
+    both = lookup_join(lookup_join(table, rows, "y_true"), cols, "y_pred")
     mutual = both.agg(F.sum(F.col("n") / n * F.ln(F.col("n") * n / (F.col("a") * F.col("b")))).alias("mi"))
     mean = (entropy("y_true").scalar() + entropy("y_pred").scalar()) / F.lit(2.0)
     return mutual.select(F.coalesce(F.try_divide(F.col("mi"), mean), F.lit(1.0)).alias("nmi"))
@@ -54,9 +62,13 @@ def ari(df: DataFrame) -> DataFrame:
 def cluster_accuracy(df: DataFrame) -> float:
     """Share of rows matched under the best one-to-one assignment of labels.
 
-    Only the contingency table, clusters by clusters, comes to the driver.
+    Only the contingency table, clusters by clusters, comes to the driver, after its size was checked.
     """
-    table = contingency(df).toPandas()
+    counts = cut(contingency(df))
+    sides = counts.agg(F.count_distinct("y_true"), F.count_distinct("y_pred")).first()
+    if max(sides) ** 2 > MATCH_CELLS:
+        raise ValueError(f"matching {sides[0]} labels with {sides[1]} clusters exceeds the bound of {MATCH_CELLS} entries")
+    table = counts.toPandas()
     if table.empty:
         return float("nan")
     rows, row = np.unique(table["y_true"], return_inverse=True)
@@ -137,7 +149,7 @@ def vector_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 def own_distances(points: DataFrame, centers: DataFrame) -> DataFrame:
     """(id, label, d): distance of each point to the centroid of its label."""
     ship(points.sparkSession)
-    joined = lookup_join(points, centers.select("label", "mu"), "label", ["id"])
+    joined = lookup_join(points, centers.select("label", "mu"), "label")
     return joined.select("id", "label", vector_distance("z", "mu").alias("d"))
 
 
@@ -163,7 +175,7 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
                .select("e.a", "e.b", "d")
     for end in ("a", "b"):
         side = spread.select(F.col("label").cast("long").alias(end), F.col("s").alias("s" + end))
-        both = lookup_join(both, side, end, ["d"], k)
+        both = lookup_join(both, side, end, k)
     worst = both.groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / F.col("d")).alias("r"))
     return worst.agg(F.avg("r").alias("dbs"))
 
@@ -191,7 +203,7 @@ def silhouette(points: DataFrame) -> DataFrame:
 
     sums = tiles.run_vector_tiles(points, total, consume, "id long, label long, total double", extra="label")
     sums = sums.groupBy("id", "label").agg(F.sum("total").alias("total"))
-    sums = lookup_join(sums, sizes, "label", ["id"])
+    sums = lookup_join(sums, sizes, "label")
     sums = sums.join(points.select("id", F.col("label").alias("own")), "id")
     mine = F.col("label") == F.col("own")
     per = sums.groupBy("id").agg(
@@ -202,7 +214,15 @@ def silhouette(points: DataFrame) -> DataFrame:
 
 
 def reduce_dimensions(points: DataFrame, k: int = 32) -> DataFrame:
-    """Principal-component projection of ``z`` (uncentred; distances are unaffected)."""
+    """Principal-component projection of ``z`` (uncentred; distances are unaffected).
+
+    A vector of fewer columns than ``k`` keeps them all. The covariance is held by the driver, so the width is bounded.
+    """
+    width = points.select(F.max(F.size("z"))).first()[0]
+    if not width or width <= k:
+        return points
+    if width > PCA_COLUMNS:
+        raise ValueError(f"{width} columns exceed the bound of {PCA_COLUMNS} for principal components")
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 

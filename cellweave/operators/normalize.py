@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.config import BROADCAST_VALUES
 from cellweave.model import Experiment
 from cellweave.operators.keys import dense_index, grid, lookup_join
 from cellweave.operators.quantile import exact_quantiles
-from cellweave.session import cut
+from cellweave.session import cut, ship
+
+# values of a dense batch
+DENSE_VALUES = 1 << 20
 
 
 def to_matrix(triples: DataFrame) -> DataFrame:
@@ -39,7 +45,7 @@ def drop_empty(expr: DataFrame, axis: str) -> DataFrame:
     """Keys of ``axis`` that keep at least one stored entry, densely renumbered."""
     keys = dense_index(expr.select(axis).distinct(), [axis], "_dense")
     other = "gene" if axis == "cell" else "cell"
-    return (lookup_join(expr, keys, axis, [other])
+    return (lookup_join(expr, keys, axis)
             .withColumn(axis, F.col("_dense")).drop("_dense").select("cell", "gene", "value"))
 
 
@@ -60,14 +66,16 @@ def scale_depth(expr: DataFrame, totals: DataFrame, median: float, log: bool = T
                 n_cells: int | None = None) -> DataFrame:
     """value * median / n_counts, then ln(1 + x) when ``log``."""
     value = F.col("value") * (F.lit(median) / F.col("n_counts"))
-    return (lookup_join(expr, totals.select("cell", "n_counts"), "cell", ["gene"], n_cells)
+    return (lookup_join(expr, totals.select("cell", "n_counts"), "cell", n_cells)
             .select("cell", "gene", (F.log1p(value) if log else value).alias("value")))
 
 
 def normalize(exp: Experiment, filter_min_counts: bool = True, size_factor: bool = True,
-              log: bool = True) -> Experiment:
+              log: bool = True, scale: bool = False) -> Experiment:
     """Filter, depth-normalise and log-transform; ``cells`` gains n_counts and size_factor.
 
+    With ``scale`` the matrix is z-scored by gene, and dense.
+
     The matrix is materialised once. Where nothing fails a filter, which is the rule
     for counts, no join is planned for it; dropped cells leave through the join that
     brings each entry its depth.
@@ -82,7 +90,7 @@ def normalize(exp: Experiment, filter_min_counts: bool = True, size_factor: bool
     n_kept = kept.count()
     raw = expr
     if n_kept < totals.count():
-        raw = lookup_join(expr, kept.select("cell"), "cell", ["gene"], n_kept, "left_semi")
+        raw = lookup_join(expr, kept.select("cell"), "cell", n_kept, "left_semi")
     if size_factor:
         median = median_depth(kept)
         kept = size_factors(kept, median)
@@ -91,6 +99,10 @@ def normalize(exp: Experiment, filter_min_counts: bool = True, size_factor: bool
         kept = kept.withColumn("size_factor", F.lit(1.0))
         norm = raw.withColumn("value", F.log1p("value")) if log else raw
     cells = exp.cells.join(kept, "cell", "inner" if filter_min_counts else "left")
+    if scale:
+        scaled = cut(scale_genes(cut(norm), cells.count()))
+        genes = scaled.groupBy("gene").agg(F.max("z_zero").alias("zero"))
+        norm = densify(scaled.select("cell", "gene", F.col("z").alias("value")), cells, genes, "zero")
     return exp.with_(expr=norm, cells=cells, raw=raw)
 
 
@@ -100,12 +112,6 @@ def assert_counts(expr: DataFrame) -> None:
         raise ValueError("the matrix must hold unnormalised integer counts")
 
 
-def split_cells(cells: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """Mark a share of the cells 'test', the rest 'train', by a stable hash."""
-    bucket = F.pmod(F.xxhash64("cell", F.lit(seed)), F.lit(10_000))
-    return cells.withColumn("split", F.when(bucket < share * 10_000, "test").otherwise("train"))
-
-
 def column_moments(expr: DataFrame, n_cells: int) -> DataFrame:
     """Per gene mean and centred sum of squares over all cells, zeros included.
 
@@ -131,17 +137,46 @@ def scale_genes(expr: DataFrame, n_cells: int) -> DataFrame:
     deviation = F.sqrt(F.col("ss") / F.lit(max(n_cells - 1, 1)))
     stats = moments.select("gene", "mean",
                            F.when(deviation == 0, 1.0).otherwise(deviation).alias("sd"))
-    return lookup_join(expr, cut(stats), "gene", ["cell"]).select(
+    return lookup_join(expr, cut(stats), "gene").select(
         "cell", "gene", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("z"),
         (-F.col("mean") / F.col("sd")).alias("z_zero"))
 
 
 def densify(expr: DataFrame, cells: DataFrame, genes: DataFrame, fill="0") -> DataFrame:
-    """The full (cell, gene, value) grid; ``fill`` is 0 or a column of ``genes``."""
-    cols = genes.select("gene", F.expr(str(fill)).cast("double").alias("_fill"))
-    full = grid(cells.select("cell"), cols, ["cell"])
-    return (full.join(expr.select("cell", "gene", "value"), ["cell", "gene"], "left")
-            .select("cell", "gene", F.coalesce("value", "_fill").alias("value")))
+    """The full (cell, gene, value) grid; ``fill`` is 0 or a column of ``genes``.
+
+    Entries are packed once, one row per cell, and the absent ones are filled in where the cell is: the genes, whose
+    number is checked, go to every task. For more genes than that the grid is made by a join.
+    """
+    cols = cut(genes.select(F.col("gene").cast("long").alias("gene"), F.expr(str(fill)).cast("double").alias("_fill")))
+    n = cols.count()
+    if n > BROADCAST_VALUES:
+        full = grid(cells.select("cell"), cols, ["cell"])
+        return (full.join(expr.select("cell", "gene", "value"), ["cell", "gene"], "left")
+                .select("cell", "gene", F.coalesce("value", "_fill").alias("value")))
+    table = cols.orderBy("gene").toPandas()
+    names, empty = table["gene"].to_numpy(), table["_fill"].to_numpy()
+    entry = F.collect_list(F.struct(F.col("gene").cast("long").alias("gene"), F.col("value").cast("double").alias("value"))).alias("e")
+    packed = cells.select(F.col("cell").cast("long").alias("cell")).join(expr.groupBy(F.col("cell").cast("long").alias("cell")).agg(entry), "cell", "left").select(
+        "cell", F.coalesce(F.col("e.gene"), F.array().cast("array<long>")).alias("genes"),
+        F.coalesce(F.col("e.value"), F.array().cast("array<double>")).alias("values"))
+
+    def spread(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, max(1, DENSE_VALUES // max(1, n))):
+                part = batch.slice(lo, max(1, DENSE_VALUES // max(1, n)))
+                found, values = part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
+                owner = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy())
+                slot = np.minimum(np.searchsorted(names, found), n - 1) if n else np.zeros(0, int)
+                dense = np.tile(empty, (part.num_rows, 1))
+                mine = names[slot] == found if n else np.zeros(0, bool)
+                dense[owner[mine], slot[mine]] = values[mine]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.tile(names, part.num_rows)), pa.array(dense.ravel())],
+                    ["cell", "gene", "value"])
+
+    ship(expr.sparkSession)
+    return packed.mapInArrow(spread, "cell long, gene long, value double")
 
 
 def at_least(expr: DataFrame, minimum: float) -> DataFrame:

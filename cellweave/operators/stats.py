@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.config import TASK_EDGES
 from cellweave.operators.keys import lookup_join
 from cellweave.operators.normalize import column_moments
 from cellweave.operators.quantile import exact_quantiles
@@ -36,27 +37,16 @@ def trend(mean, a: float, n: float, b: float):
     return F.lit(a) * mean / (F.pow(mean, F.lit(n)) + F.lit(b))
 
 
-def fit_trend(stats: DataFrame, max_steps: int = 200, tol: float = 1.5e-8,
-              task_rows: int = TASK_EDGES) -> tuple[float, float, float]:
+def fit_trend(stats: DataFrame, max_steps: int = 200, tol: float = 1.5e-8) -> tuple[float, float, float]:
     """Least-squares fit of the mean-variance trend from (1, 1, 1).
 
-    Levenberg-Marquardt whose every step scores several damping values at once. A
-    counted, bounded gene table is fitted inside one task; for a larger one each
-    step is one pass that returns only sums.
+    Levenberg-Marquardt whose every step scores several damping values in one pass that returns only sums. Raises
+    RuntimeError if it hasn't converged after ``max_steps``.
     """
     data = cut(stats.filter("mean > 0").select("mean", "var_pop"))
-    if data.count() > task_rows:
-        return _marquardt(lambda thetas: _distributed_sums(data, thetas), max_steps, tol)
-
-    def fit(batches):
-        held = [(b["mean"].to_numpy(), b["var_pop"].to_numpy()) for b in batches]
-        if held:
-            mean, var = (np.concatenate(c) for c in zip(*held))
-            theta = _marquardt(lambda thetas: _sums(mean, var, thetas), max_steps, tol)
-            yield pd.DataFrame([theta], columns=["a", "n", "b"])
-
-    row = data.coalesce(1).mapInPandas(fit, "a double, n double, b double").first()
-    return (row["a"], row["n"], row["b"]) if row else (1.0, 1.0, 1.0)
+    if data.isEmpty():
+        return 1.0, 1.0, 1.0
+    return _marquardt(lambda thetas: _distributed_sums(data, thetas), max_steps, tol)
 
 
 def _marquardt(score, max_steps: int, tol: float) -> tuple[float, float, float]:
@@ -72,15 +62,15 @@ def _marquardt(score, max_steps: int, tol: float) -> tuple[float, float, float]:
         new_sse = scored[best][0]
         if not new_sse < sse:
             damping *= 1e5
-            if damping > 1e14:
-                break
+            if damping > 1e14:  # no step of any length is better
+                return tuple(float(t) for t in theta)
             continue
         gain, step = sse - new_sse, np.linalg.norm(trials[best] - theta)
         theta, damping = trials[best], max(dampings[best], 1e-12)
         sse, jtj, jtr = scored[best]
         if sse == 0 or (gain <= tol * sse and step <= tol * (np.linalg.norm(theta) + tol)):
-            break
-    return tuple(float(t) for t in theta)
+            return tuple(float(t) for t in theta)
+    raise RuntimeError(f"the mean-variance trend did not converge in {max_steps} steps")
 
 
 def _sums(m: np.ndarray, v: np.ndarray, thetas) -> list[tuple]:
@@ -98,17 +88,17 @@ def _sums(m: np.ndarray, v: np.ndarray, thetas) -> list[tuple]:
 
 
 def _distributed_sums(data: DataFrame, thetas) -> list[tuple]:
-    """One pass: every task returns the sums of its rows, one row per candidate."""
+    """One pass: every task returns the sums of its rows, one row per candidate. They are added exactly, in any order."""
     def partial(batches):
         for b in batches:
             for c, (sse, jtj, jtr) in enumerate(_sums(b["mean"].to_numpy(), b["var_pop"].to_numpy(), thetas)):
                 yield pd.DataFrame({"c": c, "pos": range(13), "s": [sse, *jtj.ravel(), *jtr]})
 
-    rows = data.mapInPandas(partial, "c int, pos int, s double").groupBy("c", "pos").agg(F.sum("s").alias("s")).collect()
+    sums = data.mapInPandas(partial, "c int, pos int, s double").groupBy("c", "pos").agg(F.collect_list("s").alias("s"))
     table = np.zeros((len(thetas), 13))
-    for r in rows:
-        table[r["c"], r["pos"]] = r["s"]
-    return [(t[0], t[1:10].reshape(3, 3), t[10:]) for t in table]
+    for r in sums.collect():
+        table[r["c"], r["pos"]] = math.fsum(r["s"]) if np.isfinite(r["s"]).all() else np.inf
+    return [(t[0], t[1:10].reshape(3, 3), t[10:]) if np.isfinite(t).all() else (np.inf, np.eye(3), np.zeros(3)) for t in table]
 
 
 def trend_excess(stats: DataFrame, theta: tuple[float, float, float]) -> DataFrame:
@@ -131,4 +121,4 @@ def select_genes(expr: DataFrame, n_cells: int, kind: str, k: int = TOP_GENES) -
         chosen = top_variance_genes(stats, k)
     else:
         chosen = top_excess_genes(stats, fit_trend(stats), k)
-    return lookup_join(expr, chosen.select("gene"), "gene", ["cell"], small_rows=k, how="left_semi")
+    return lookup_join(expr, chosen.select("gene"), "gene", small_rows=k, how="left_semi")

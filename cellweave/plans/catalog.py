@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.config import DEC_SETTINGS, GMM_SETTINGS
 from cellweave.functions import expressions as X
 from cellweave.model import Experiment
 from cellweave.operators import annotate as A
 from cellweave.operators import constraints as C
-from cellweave.operators import forest, graph, louvain, metrics, soft, stats
+from cellweave.operators import autoencoder, forest, graph, louvain, metrics, soft, stats
 from cellweave.operators import normalize as N
 from cellweave.operators import similarity as S
 from cellweave.operators.keys import lookup_join
@@ -28,7 +26,7 @@ from cellweave.sources.tables import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-TOP = 500
+TOP = stats.TOP_GENES
 LINK = 0.02        # threshold graph on weak synthetic correlations
 COMPONENT = 0.05
 
@@ -177,6 +175,20 @@ def mean_variance_genes(t):
     return stats.top_excess_genes(table, stats.fit_trend(table), TOP).select("gene", r6("excess").alias("excess"))
 
 
+@query(Q.STATS + "SELECT count(*) AS n_genes, true AS stationary FROM V WHERE mean > 0")
+def trend_residual(t):
+    """Is the fitted trend a least-squares fit? The gradient of the squared error in each parameter, next to its size."""
+    table = N.cut(_gene_stats(t).filter("mean > 0"))
+    a, n, b = stats.fit_trend(table)
+    m, power = F.col("mean"), F.pow("mean", F.lit(n))
+    base = power + F.lit(b)
+    rest = F.col("var_pop") - F.lit(a) * m / base
+    slopes = [m / base, -F.lit(a) * m * power * F.ln(m) / (base * base), -F.lit(a) * m / (base * base)]
+    sums = table.agg(F.count("*"), *[F.sum(rest * d) for d in slopes], *[F.sqrt(F.sum(rest * rest) * F.sum(d * d)) for d in slopes]).first()
+    flat = all(abs(sums[1 + k]) <= 1e-4 * sums[4 + k] + 1e-12 for k in range(3))
+    return t.spark.createDataFrame([(sums[0], flat)], "n_genes long, stationary boolean")
+
+
 # --- similarities -----------------------------------------------------------------------------
 
 @query(Q.PEARSON + "SELECT i, j, round(r, 6) + 0.0 AS r FROM S")
@@ -254,7 +266,7 @@ def forest_weights(t):
 @query(Q.components(COMPONENT))
 def connected_components(t):
     sim, exp, _ = _pearson(t)
-    edges = sim.pairs(COMPONENT)
+    edges = forest.kmst_graph(sim, 1, COMPONENT)  # pruned where the pairs are made
     found = graph.connected_components(exp.cells, edges)
     return graph.number_clusters(found.select("cell", "component"), "component").select(
         "cell", F.col("cluster").alias("component"))
@@ -292,6 +304,32 @@ def louvain_communities(t):
     return louvain.louvain(exp.cells, edges)
 
 
+@query(Q.kmst("floor(ln(n))") + f"""SELECT q AS q_nations, true AS at_least_nations, true AS at_least_singles
+FROM ({Q.modularity(1.0)})""")
+def louvain_quality(t):
+    """Modularity of the communities found against that of nations (stated in SQL too) and of single cells."""
+    edges, nations = _labelled_graph(t)
+    edges = N.cut(edges)
+    score = lambda labels: graph.modularity(edges, labels).first()["q"]
+    cells = t.supplier.select(F.col("s_suppkey").alias("cell"))
+    found = score(louvain.louvain(cells, edges))
+    of_nations, of_singles = score(nations), score(cells.withColumn("cluster", F.col("cell")))
+    return t.spark.createDataFrame([(of_nations, found >= of_nations - 1e-9, found >= of_singles - 1e-9)],
+                                   "q double, at_least_nations boolean, at_least_singles boolean").select(
+        r6("q").alias("q_nations"), "at_least_nations", "at_least_singles")
+
+
+@query("SELECT count(*) AS n_cells, 0::BIGINT AS differing FROM supplier")
+def louvain_tables(t):
+    """Communities by table sweeps alone against those finished in one task: cells whose cluster differs."""
+    edges = N.cut(_labelled_graph(t)[0])
+    cells = t.supplier.select(F.col("s_suppkey").cast("long").alias("cell"))
+    far = louvain.louvain(cells, edges, task_edges=0)
+    near = louvain.louvain(cells, edges).select("cell", F.col("cluster").alias("other"))
+    return far.join(near, "cell", "full_outer").agg(
+        F.count("*").alias("n_cells"), F.count_if(~F.col("cluster").eqNullSafe(F.col("other"))).alias("differing"))
+
+
 @query()
 def kmst_clusters(t):
     return methods.kmst(B.supplier_experiment(t), "variance", top=TOP)
@@ -396,6 +434,28 @@ def unsupervised_metrics(t):
     return metrics.unsupervised_metrics(B.latent_points(t), 32)
 
 
+@query(f"""SELECT (SELECT round(sil, 5) FROM ({Q.POINTS + Q.SILHOUETTE})) AS sil,
+(SELECT round(chs, 5) FROM ({Q.POINTS + Q.CALINSKI})) AS chs, (SELECT round(dbs, 5) FROM ({Q.POINTS + Q.DAVIES})) AS dbs""")
+def unsupervised_full_rank(t):
+    """With all components the projection is a rotation: the scores are the plain ones."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    points = B.latent_points(t)
+    width = points.select(F.max(F.size("z"))).first()[0]
+    vectors = points.withColumn("v", array_to_vector("z"))
+    turned = PCA(k=width, inputCol="v", outputCol="p").fit(vectors).transform(vectors).select("id", vector_to_array("p").alias("z"), "label")
+    return metrics.unsupervised_metrics(turned, None)
+
+
+@query(Q.SCALED_SILHOUETTE)
+def scaled_silhouette(t):
+    """Silhouette of the nations on the scaled matrix, as the mixture method scores its clusters."""
+    data, _ = methods._training(B.supplier_experiment(t))
+    label = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("label"))
+    return metrics.silhouette(autoencoder.scaled(data).join(label, "id")).select(r6("sil").alias("sil"))
+
+
 def _nearest(t: Tables) -> tuple[DataFrame, DataFrame]:
     points = B.latent_points(t)
     labels, matrix = soft.centroid_table(metrics.centroids(points))
@@ -492,8 +552,8 @@ def zinb_nll(t):
     n_cells = totals.count()
     means = N.cut(exp.expr.groupBy("gene").agg((F.sum("value") / n_cells).alias("mean")))
     full = N.densify(exp.expr, totals, means)
-    full = lookup_join(full, totals.select("cell", "size_factor"), "cell", ["gene"], n_cells)
-    full = lookup_join(full, means, "gene", ["cell"])
+    full = lookup_join(full, totals.select("cell", "size_factor"), "cell", n_cells)
+    full = lookup_join(full, means, "gene")
     nll = X.zinb_nll(F.col("value"), F.col("mean"), F.lit(2.0), F.lit(0.1), F.col("size_factor"))
     return full.agg(F.count("*").alias("n"), r6(F.avg(nll)).alias("mean_nll"))
 
@@ -511,28 +571,36 @@ def kmeans_latent(t):
     return labels.select(F.col("id").alias("vec_id"), "cluster")
 
 
-# Short training for the catalogue; the methods default to the full budgets.
-_BRIEF = {"pretrain_epochs": 40, "epochs": 10}
+@query("SELECT count(*) AS n, 0::BIGINT AS misplaced, true AS centred FROM embeddings")
+def kmeans_quality(t):
+    """Points that are nearer to another centre than to their own, and whether the centres are their points' means."""
+    points = B.latent_points(t)
+    labels, centres = kmeans(points, 10)
+    placed = N.cut(points.select("id", "z").join(labels, "id"))
+    d2 = soft.long(soft.centroid_distances(placed.select("id", "z"), centres), "d2", list(range(len(centres))))
+    near = d2.groupBy("id").agg(F.min("d2").alias("least")).join(
+        d2.join(placed.select("id", F.col("cluster").cast("long").alias("own")), "id").filter("cluster = own").select("id", "d2"), "id")
+    counts = near.agg(F.count("*"), F.count_if(F.col("d2") > F.col("least") + 1e-9)).first()
+    means = metrics.centroids(placed.select("id", "z", F.col("cluster").alias("label"))).collect()
+    centred = all(abs(centres[r["label"]] - S.np.array(r["mu"])).max() < 1e-6 for r in means)
+    return t.spark.createDataFrame([(*counts, bool(centred))], "n long, misplaced long, centred boolean")
 
 
 @query()
 def autoencoder_gmm(t):
-    result = methods.ae_gmm(B.supplier_experiment(t), 4, replace(GMM_SETTINGS, **_BRIEF), restarts=4)
-    return result.clusters.select("cell", "cluster")
+    return methods.ae_gmm(B.supplier_experiment(t), 4).clusters.select("cell", "cluster")
 
 
 @query()
 def autoencoder_dec(t):
-    result = methods.dec(B.supplier_experiment(t), 4, replace(DEC_SETTINGS, **_BRIEF), restarts=4)
-    return result.clusters.select("cell", "cluster")
+    return methods.dec(B.supplier_experiment(t), 4).clusters.select("cell", "cluster")
 
 
 @query()
 def estimate_n_clusters(t):
     points = B.latent_points(t)
     width = points.select(F.max(F.size("z"))).first()[0]
-    from cellweave.operators.autoencoder import estimate_clusters
-    return t.spark.createDataFrame([(estimate_clusters(points, points.count(), width),)], "n_clusters long")
+    return t.spark.createDataFrame([(autoencoder.estimate_clusters(points, points.count(), width),)], "n_clusters long")
 
 
 # --- constraints ------------------------------------------------------------------------------------

@@ -44,7 +44,7 @@ def kmst_union(exp: Experiment, seed: int = 123) -> "UnionResult":
     n = cells.count()
     sim = similarity.pearson_union_trunc(norm, cells, n)
     edges = cut(forest.kmst_graph(sim, forest.rounds_for(n, "round")))
-    return UnionResult(_communities(cells, edges, "cost", 0.5, seed), edges, sim, norm)
+    return UnionResult(_communities(cells, edges, "cost", 0.5, seed), edges, sim, norm, expr)
 
 
 @dataclass
@@ -53,6 +53,7 @@ class UnionResult:
     edges: DataFrame
     similarity: similarity.Similarity
     normalized: DataFrame
+    counts: DataFrame
 
 
 def _communities(cells: DataFrame, edges: DataFrame, weight: str, gamma: float, seed: int) -> DataFrame:
@@ -66,12 +67,13 @@ def _communities(cells: DataFrame, edges: DataFrame, weight: str, gamma: float,
 
 @dataclass
 class LatentResult:
-    """clusters: cells with cluster (and the array p); latent: (id, z); model: the trained network."""
+    """clusters: cells with cluster (and the array p); latent: (id, z); model: the trained network; data: its input."""
 
     clusters: DataFrame
     latent: DataFrame
     model: ae.Model
     n_clusters: int
+    data: ae.TrainingSet
 
 
 def _training(exp: Experiment) -> tuple[ae.TrainingSet, DataFrame]:
@@ -89,11 +91,11 @@ def ae_gmm(exp: Experiment, n_clusters: int | None = None, settings: Autoencoder
     """
     data, cells = _training(exp)
     model = ae.fit_mixture(data, ae.pretrain(data, settings), n_clusters, restarts)
-    latent = cut(ae.encode(data, model))
+    latent = ae.encode(data, model)
     found = soft.gmm_responsibilities(latent, model.params["mu"], model.params["logits"].tolist())
     labelled = found.select(F.col("id").alias("cell"), "p",
                             (F.array_position("p", F.array_max("p")) - 1).alias("cluster"))
-    return LatentResult(cells.join(labelled, "cell"), latent, model, len(model.params["mu"]))
+    return LatentResult(cells.join(labelled, "cell"), latent, model, len(model.params["mu"]), data)
 
 
 def dec(exp: Experiment, n_clusters: int, settings: AutoencoderSettings = DEC_SETTINGS, constraints: DataFrame | None = None,
@@ -109,11 +111,17 @@ def dec(exp: Experiment, n_clusters: int, settings: AutoencoderSettings = DEC_SE
     else:
         model = ae.load_parameters(weights, ae.pretrain(data, replace(settings, pretrain_epochs=0)))
     model = ae.fit_divergence(data, model, n_clusters, constraints, restarts)
-    latent = cut(ae.encode(data, model))
+    latent = ae.encode(data, model)
     found = soft.student_t_assign(latent, model.params["mu"], settings.alpha)
     labelled = found.select(F.col("id").alias("cell"), F.col("q").alias("p"),
                             (F.array_position("q", F.array_max("q")) - 1).alias("cluster"))
-    return LatentResult(cells.join(labelled, "cell"), latent, model, n_clusters)
+    return LatentResult(cells.join(labelled, "cell"), latent, model, n_clusters, data)
+
+
+def scaled_metrics(result: LatentResult) -> DataFrame:
+    """sil, chs and dbs of the clusters on the scaled input matrix."""
+    points = ae.scaled(result.data).join(result.clusters.select(F.col("cell").alias("id"), F.col("cluster").alias("label")), "id")
+    return metrics.unsupervised_metrics(points, None)
 
 
 def latent_metrics(result: LatentResult) -> DataFrame:

@@ -20,6 +20,13 @@ SCALED = GRID.rstrip() + """,
 H AS (SELECT gene, avg(value) AS m, stddev_samp(value) AS s FROM G GROUP BY gene)
 SELECT cell, gene, round((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) + 0.0 AS z FROM G JOIN H USING (gene)"""
 
+SCALED_SILHOUETTE = f"""WITH P AS (SELECT cell AS id, any_value(s_nationkey) AS label, list(z ORDER BY gene) AS z FROM ({SCALED})
+JOIN supplier ON s_suppkey = cell GROUP BY cell)
+, BOTH_ AS (SELECT a.id AS i, a.label AS li, b.label AS lj, list_distance(a.z, b.z) AS d FROM P a CROSS JOIN P b),
+A AS (SELECT i, li, lj, sum(d) AS s, count(*) AS n FROM BOTH_ GROUP BY ALL),
+B AS (SELECT i, max(CASE WHEN li = lj AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN li <> lj THEN s / n END) AS b FROM A GROUP BY i)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS sil FROM B"""
+
 STATS = GRID.rstrip() + """,
 V AS (SELECT gene, avg(value) AS mean, var_pop(value) AS var_pop FROM G GROUP BY gene)
 """

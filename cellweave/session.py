@@ -72,13 +72,33 @@ def cut(df: DataFrame) -> DataFrame:
 
     Iterative operators call this each round: the plan stays short, lost executors
     re-read files instead of replaying the rounds, and the optimizer knows the size.
+    The table stays until ``release``.
     """
     spark = ship(df.sparkSession)
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_cellweave_tables"):
+        context._cellweave_tables = []
+    return context._cellweave_tables
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this application has cut so far; no frame made before may be used after. Says how many."""
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), _tables(spark)
+    for name in found:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    n = len(found)
+    found.clear()
+    return n
+
+
 def pin(df: DataFrame) -> DataFrame:
     """As ``cut``, but keeping the partitions of ``df``, for data that is scanned many times."""
     shared_dir(ship(df.sparkSession))

@@ -30,21 +30,22 @@ def find_files(spark: SparkSession, location: str) -> tuple[str, str, str]:
 
 
 def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(name LONG, value): lines with their 0-based number.
+    """(name LONG, value): lines with their 0-based number; of a folder, files follow one another by path.
 
     Lines are counted per file split; a split's rows get their number from the
     splits before it, so splits are numbered in parallel.
     """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"))
-    counts = sorted((r["_split"], r["count"]) for r in lines.groupBy("_split").count().collect())
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row"))
+    counts = sorted((r["_file"], r["_split"], r["count"]) for r in lines.groupBy("_file", "_split").count().collect())
     starts, total = [], 0
-    for split, count in counts:
-        starts.append((split, total))
+    for file, split, count in counts:
+        starts.append((file, split, total))
         total += count
-    offsets = spark.createDataFrame(starts or [(0, 0)], "_split long, _start long")
-    within = F.row_number().over(Window.partitionBy("_split").orderBy("_row"))
-    return (lines.withColumn("_n", within).join(F.broadcast(offsets), "_split")
+    offsets = spark.createDataFrame(starts or [("", 0, 0)], "_file string, _split long, _start long")
+    within = F.row_number().over(Window.partitionBy("_file", "_split").orderBy("_row"))
+    return (lines.withColumn("_n", within).join(F.broadcast(offsets), ["_file", "_split"])
             .select((F.col("_start") + F.col("_n") - 1).alias(name), "value"))
 
 

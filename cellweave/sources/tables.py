@@ -49,7 +49,7 @@ def customer_experiment(t: Tables) -> Experiment:
     genes = names.select("gene", F.col("symbol").alias("gene_id"), "symbol")
     lines = _lines(t).groupBy(F.col("o_custkey").alias("cell"), F.col("p_name").alias("symbol")).agg(
         F.sum("l_quantity").alias("value"))
-    expr = cut(lookup_join(lines, names, "symbol", ["cell"]).select("cell", "gene", "value").filter("value <> 0"))
+    expr = cut(lookup_join(lines, names, "symbol").select("cell", "gene", "value").filter("value <> 0"))
     cells = expr.select("cell").distinct().withColumn("barcode", F.col("cell").cast("string"))
     return Experiment(expr, cells, genes)
 

@@ -55,9 +55,14 @@ def write_similarity(pairs: DataFrame, path: str) -> None:
 
 
 def write_graph(edges: DataFrame, path: str) -> None:
-    """Lines v1, v2, weight."""
-    weight = "weight" if "weight" in edges.columns else "cost"
-    write_csv(edges.select("i", "j", weight), path, "\t", False)
+    """Lines v1, v2, weight, or v1, v2, correlation, cost of a graph that has costs 1 - r."""
+    columns = ["weight"] if "weight" in edges.columns else [(1.0 - F.col("cost")).alias("r"), "cost"]
+    write_csv(edges.select("i", "j", *columns), path, "\t", False)
+
+
+def write_losses(spark, losses: list[float], path: str) -> None:
+    """Round and mean loss, in order of training."""
+    write_csv(spark.createDataFrame(list(enumerate(losses)), "round int, loss double").coalesce(1), path)
 
 
 def write_cluster_lines(result: DataFrame, path: str) -> None:

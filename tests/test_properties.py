@@ -190,8 +190,8 @@ def test_dense_index_and_joins(spark):
     big = spark.createDataFrame([(1, x) for x in range(100)] + [(2, 1)], "k long, x long")
     small = spark.createDataFrame([(1, "a"), (3, "c")], "k long, y string")
     for rows in (2, 10**9):                              # broadcast, salted
-        assert lookup_join(big, small, "k", ["x"], rows).count() == 100
-        assert lookup_join(big, small, "k", ["x"], rows, "left").filter("y IS NULL").count() == 1
+        assert lookup_join(big, small, "k", rows).count() == 100
+        assert lookup_join(big, small, "k", rows, "left").filter("y IS NULL").count() == 1
     assert grid(big.select("x").distinct(), small, ["x"]).count() == 200
 
 
@@ -218,7 +218,9 @@ def test_trend_fit_finds_the_curve(spark):
                                   "gene long, mean double, var_pop double")
     a, n, b = stats.fit_trend(table)
     assert (a, n, b) == pytest.approx((3.0, 1.4, 2.0), rel=0.05)
-    assert stats.fit_trend(table.repartition(3), task_rows=10) == pytest.approx((a, n, b), rel=1e-4)
+    assert stats.fit_trend(table.repartition(3)) == pytest.approx((a, n, b), rel=1e-6)
+    with pytest.raises(RuntimeError):
+        stats.fit_trend(table, max_steps=2)
     fitted = a * mean / (mean ** n + b)
     assert ((var - fitted) ** 2).sum() <= ((var - 3.0 * mean / (mean ** 1.4 + 2.0)) ** 2).sum()
 
