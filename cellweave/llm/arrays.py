@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.session import ship
+
+#: rows of texts that come to a Python worker at once, where the session has Spark's own default of 10,000
+BATCH_ROWS = 2048
 #: bytes of text that one array step works on; single longer texts make a longer step
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -23,6 +27,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Ship the package and keep the batches of whole texts small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+    return ship(spark)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(32))

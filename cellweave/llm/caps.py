@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
 from cellweave.llm.components import components
-from cellweave.session import cut, ship
+from cellweave.session import cut
 
 COSINE = 0.95
 #: expected rows of a filter, with vectors spread evenly over the sphere
@@ -142,7 +142,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     Vectors of different lengths never link. Equal vectors link with one another and are searched once. An id that is
     repeated is one node for components. An empty table gives no rows.
     """
-    spark = ship(vectors.sparkSession)
+    spark = A.ready(vectors.sparkSession)
     kind = vectors.schema[vector].dataType.elementType.simpleString()
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("x"))
     sound = (F.col("vec_id").isNotNull() & F.col("x").isNotNull()

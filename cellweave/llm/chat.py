@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.session import ship
 
 ROLES = ("system", "user", "assistant")
 #: state 0 is the start, state k + 1 follows a turn of ROLES[k]
@@ -192,7 +191,7 @@ def format_chats(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     repair costs. Labels other than the three roles, in any case, cost a relabelling; null texts are empty turns; rows
     with a null conv_id are one conversation. An empty table gives no rows.
     """
-    spark = ship(turns.sparkSession)
+    spark = A.ready(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     at = F.col("turn").cast("long")
     rows = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("conv_id").isNull().alias("none"),

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.session import ship
 
 BUDGET = 1 << 16
 WINDOW = 1 << 12
@@ -103,7 +102,7 @@ class Parser:
         """Bits a byte of each text (rows) against each language (columns); empty texts have zeros."""
         n = len(offsets) - 1
         out = np.zeros((n, len(self.languages)))
-        for first, last in A.steps(offsets, 4 << 20):
+        for first, last in A.steps(offsets, 1 << 20):
             body = self.symbols[data[offsets[first]:offsets[last]]]
             size = np.diff(offsets[first:last + 1])
             parts = -(-size // BLOCK)
@@ -152,7 +151,7 @@ def fit(docs: DataFrame, learn: Column | None = None, budget: int = BUDGET, wind
 
     Raises ValueError for more than ``LANGUAGES`` labels. Without labelled text the model has no language.
     """
-    ship(docs.sparkSession)
+    A.ready(docs.sparkSession)
     rows = docs.filter(F.lit(True) if learn is None else learn).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("draw")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0))
@@ -180,7 +179,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     ``und`` with score 0 if the text is null, has no letter, or nothing was learned. ``score`` weighs the winner's
     entropy against the others'. Ties go to the first language by name. Columns lang_pred and score are replaced.
     """
-    ship(docs.sparkSession)
+    A.ready(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     frame = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("text__"))
     known = model.texts

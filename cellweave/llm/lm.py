@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.session import ship
 
 BACKOFF = 0.4
 LEAST = 2
@@ -168,7 +167,7 @@ def score(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str =
     Words are runs of non-blank bytes, ASCII lower-cased, of the whole text; n-grams stay within a text. Null, empty and
     blank texts have no words and a sum of zero. Repeated rows count as often as they stand. An empty table gives no rows.
     """
-    spark = ship(docs.sparkSession)
+    spark = A.ready(docs.sparkSession)
     parts = A.buckets(spark)
     n = FINE * parts
     value = F.col(f"`{text}`").cast("string")

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.session import cut, ship
+from cellweave.llm import arrays as A
+from cellweave.session import cut
 
 SCALE = 256
 SHARD_ROWS = 4096
@@ -109,7 +110,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     components both have. Rows with the query's own id are no candidates; a repeated id is otherwise a row of its own,
     a repeated query id one query. Fewer than k candidates give fewer rows; no query, none.
     """
-    ship(vectors.sparkSession)
+    A.ready(vectors.sparkSession)
     rows = cut(quantised(vectors, id_col, vector, scale))
     asked = rows.filter(queries).dropDuplicates(["id"])
     shards = max(1, -(-rows.count() // shard_rows))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.session import cut, ship
+from cellweave.session import cut
 
 #: a document is taken at most so many times
 MOST = 3
@@ -36,7 +36,7 @@ def prefix_sums(df: DataFrame, group: str | None, order: list[Column], value: st
 
     The rows' order inside a group is that of ``order``; rows that agree in all of it may stand in either order.
     """
-    spark = ship(df.sparkSession)
+    spark = A.ready(df.sparkSession)
     names = df.columns
     keys = [F.col(group)] if group else []
     ranged = df.repartitionByRange(A.buckets(spark), *keys, *order).sortWithinPartitions(*keys, *order)
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), mo
     rounded to a word. A null source is a source of its own; null and repeated ids are rows like any other; rows of no
     words take nothing (``epochs`` says how often they stand in the mix). An empty table gives no rows.
     """
-    ship(docs.sparkSession)
+    A.ready(docs.sparkSession)
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
                        random_key(F.col("doc_id"), seed).alias("key__"), *[F.col(f"`{c}`").alias(f"carry__{c}") for c in carry])
     goals = targets(rows.select("source", "size"), weights, most)

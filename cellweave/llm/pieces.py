@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: words, and pairs, that a task remembers; it forgets all of them when there are more
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # fixed values of the model format: piece types and model types
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -111,6 +110,7 @@ class Transducer:
         self.output = pa.array(out, pa.binary())
         self.steps: dict[str, int] = {p[:k]: -1 for p in self.arcs for k in range(1, len(p))} | self.arcs
         self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -139,53 +139,74 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """The least-cost sequence of arcs over ``text``: piece numbers, and ~code for a character without a piece."""
+        arc, back = (self.merge_path if self.kind == BPE else self.score_path)(text)
+        n, found = len(text), []
+        while n:
+            found.append(arc[n])
+            n = back[n]
+        return found[::-1]
+
+    def score_path(self, text: str) -> tuple[list, list]:
+        """Last arc, and where it starts, of the least-cost path to each position."""
         n = len(text)
-        cost, arc, back = [math.inf] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        unigram, steps, score, pairs, endless = self.kind == UNIGRAM, self.steps, self.score, self.pairs, math.inf
+        cost, arc, back = [math.inf] * (n + 1), [None] * (n + 1), [0] * (n + 1)
+        cost[0], steps, score = 0.0, self.steps, self.score
         for start in range(n):
-            if cost[start] == endless:
-                continue
             for end in range(start + 1, n + 1):
                 number = steps.get(text[start:end])
-                if number is None:
-                    if end > start + 1:
-                        break
-                    number = ~ord(text[start])
+                if end == start + 1:
+                    number = ~ord(text[start]) if number is None or number < 0 else number
+                elif number is None:
+                    break
                 elif number < 0:
-                    if end > start + 1:
-                        continue
-                    number = ~ord(text[start])
-                if unigram:
-                    total = cost[start] - (self.worst if number < 0 else score[number])
-                elif cost[end] == 0.0:
                     continue
-                elif start:
-                    known = pairs.get(arc[start] << 32 | number & 0xFFFFFFFF)
-                    total = 0.0 if (self.follows(arc[start], number) if known is None else known) else endless
-                else:
-                    total = 0.0
+                total = cost[start] - (self.worst if number < 0 else score[number])
                 if total < cost[end]:
                     cost[end], arc[end], back[end] = total, number, start
-        found = []
-        while n:
-            found.append(arc[n])
-            n = back[n]
-        return found[::-1]
+        return arc, back
+
+    def merge_path(self, text: str) -> tuple[list, list]:
+        """As ``score_path`` where costs are zero or infinite: each position is reached at no cost in one way, or never."""
+        n = len(text)
+        arc, back = [None] * (n + 1), [0] * (n + 1)
+        get, known, follows = self.steps.get, self.pairs.get, self.follows
+        for start in range(n):
+            left = arc[start]
+            if left is None and start:
+                continue
+            for end in range(start + 1, n + 1):
+                number = get(text[start:end])
+                if end == start + 1:
+                    if number is None or number < 0:
+                        number = ~ord(text[start])
+                elif number is None:
+                    break
+                elif number < 0:
+                    continue
+                if arc[end] is None:
+                    if start:
+                        free = known(left << 32 | number & 0xFFFFFFFF)
+                        if not (follows(left, number) if free is None else free):
+                            continue
+                    arc[end], back[end] = number, start
+        return arc, back
 
     def word(self, raw: bytes) -> bytes:
-        """The piece numbers of a word, as 32-bit integers."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        ids = []
-        for number in self.path(raw.decode().replace(" ", MARK)):
-            if number >= 0:
-                ids.append(number)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in chr(~number).encode())
-            else:
-                ids.append(self.unknown)
-        found = self.words[raw] = array("i", ids).tobytes()
+        """The piece numbers of a word, as 32-bit integers. Words that weren't asked for of late are forgotten."""
+        found = self.old_words.get(raw)
+        if found is None:
+            ids = []
+            for number in self.path(raw.decode().replace(" ", MARK)):
+                if number >= 0:
+                    ids.append(number)
+                elif self.bytes:
+                    ids.extend(self.bytes[b] for b in chr(~number).encode())
+                else:
+                    ids.append(self.unknown)
+            found = array("i", ids).tobytes()
+        if len(self.words) >= REMEMBERED // 2:
+            self.old_words, self.words = self.words, {}
+        self.words[raw] = found
         return found
 
     def normalise(self, texts: pa.Array) -> pa.Array:
@@ -201,7 +222,7 @@ class Transducer:
         """Piece numbers of all texts in a row, and the n + 1 offsets of the texts."""
         data, offsets = A.text_buffer(self.normalise(texts))
         ids, counts = [np.zeros(0, np.int32)], np.zeros(len(offsets) - 1, np.int64)
-        for first, last in A.steps(offsets, 1 << 23):
+        for first, last in A.steps(offsets, 1 << 22):
             body, at = data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
             begin = np.zeros(len(body), bool)
             if self.apart:
@@ -260,7 +281,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[s
     ``round_trip`` says that decoding the ids gives the normalised text again. Null and empty texts have no ids. The
     texts are whole; columns named ids, n_ids or round_trip are replaced.
     """
-    spark = ship(docs.sparkSession)
+    spark = A.ready(docs.sparkSession)
     new = ["ids", "n_ids", "round_trip"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new and (keep is not None or c != text)]
     content = spark.sparkContext.broadcast(model_bytes(spark, model))
@@ -286,7 +307,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[s
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
     """``rows`` with ``text`` (string) in place of ``ids``. Null or empty ids give an empty text; ids outside the model raise."""
-    spark = ship(rows.sparkSession)
+    spark = A.ready(rows.sparkSession)
     keep = [c for c in rows.columns if c not in (ids, "text")]
     content = spark.sparkContext.broadcast(model_bytes(spark, model))
     frame = rows.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{ids}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids__"))

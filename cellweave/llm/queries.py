@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
 from cellweave.llm import caps, chat, language, lm, maxscore, mixing, pieces, simhash, substrings, toxicity
-from cellweave.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def query(function):
     QUERIES[function.__name__] = lambda spark, folder: function(
-        lambda table: ship(spark).read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
+        lambda table: A.ready(spark).read.parquet(f"{folder.rstrip('/')}/{table}.parquet"))
     return function
 
 

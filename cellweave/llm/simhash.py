@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
 from cellweave.llm.components import components
-from cellweave.session import cut, ship
+from cellweave.session import cut
 
 SEED = 42
 RADIUS = 2
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: in
 
     Null, empty and blank texts get fingerprint zero; a text of fewer words than a shingle is one shingle.
     """
-    ship(docs.sparkSession)
+    A.ready(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, "fp")]
     frame = docs.select(*rest, F.col(text).cast("string").alias("text__"))
     fields = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in rest)
@@ -132,7 +132,7 @@ def links(found: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
     The rows of a key lie in one group. A key with more than ``group`` fingerprints is split by covering masks over the
     bits that its own mask leaves open: the guarantee holds in it again, and a group can't exceed 2^(open bits) values.
     """
-    spark = ship(found.sparkSession)
+    spark = A.ready(found.sparkSession)
     first = masks(list(range(64)), radius)
     inner = [masks([p for p in range(64) if not m >> p & 1], radius) for m in first]
     keyed = found.select("fp", F.explode(F.array(*[

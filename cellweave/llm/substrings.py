@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
 from cellweave.llm.suffixes import suffix_array
-from cellweave.session import ship
 
 LENGTH = 200
 GRAM = 96
@@ -426,7 +425,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", tex
     """
     if not 0 < gram <= length <= gram + 254:
         raise ValueError("gram must be positive, and length at most 254 above it")
-    spark = ship(docs.sparkSession)
+    spark = A.ready(docs.sparkSession)
     parts = A.buckets(spark)
     n = FINE * parts
     value = F.col(f"`{text}`").cast("string")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.session import cut, ship
+from cellweave.session import cut
 
 BITS = 22
 GRAM = 5
@@ -81,7 +81,7 @@ def _counts(sample: DataFrame) -> DataFrame:
             known = np.array(batch.column(0).to_pylist(), np.int64)
             for text, feature in _pairs(*A.text_buffer(batch.column(1))):
                 for y in (0, 1):
-                    total[y] += np.bincount(feature[known[text] == y], minlength=1 << BITS).astype(np.int32)
+                    np.add.at(total[y], feature[known[text] == y], 1)
         some = np.flatnonzero(total.any(axis=0))
         for lo in range(0, len(some), 1 << 17):
             part = some[lo:lo + (1 << 17)]
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, prior:
     otherwise. Without a confirmed positive the model is the prior alone. Rows with a null id or a null label teach
     nothing; an id labelled twice is toxic if one of its labels says so.
     """
-    spark = ship(docs.sparkSession)
+    spark = A.ready(docs.sparkSession)
     learn = F.lit(True) if learn is None else learn
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
     named = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: PuModel, text: str = "text") -> DataFrame:
 
     A column of ``docs`` named ``score`` is replaced.
     """
-    ship(docs.sparkSession)
+    A.ready(docs.sparkSession)
     rest = [c for c in docs.columns if c != "score"]
     frame = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("text__"))
     ids, weights, bias = model.features, model.weights, model.bias
