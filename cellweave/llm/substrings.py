@@ -37,8 +37,8 @@ LENGTH = 200
 GRAM = 96
 #: windows of an anchor in one batch, and in one task, from which they are spread
 HOT_BATCH, HOT_TASK = 16, 512
-#: bytes of window text that one suffix array covers, and of text whose anchors are packed together
-CHUNK = PACK = 8 << 20
+#: bytes of window text that one suffix array covers, and of text whose anchors are packed together: bounds on memory
+CHUNK, PACK = 2 << 20, 4 << 20
 #: packed rows go to this many times as many buckets as there are partitions, so that buckets even out
 FINE = 2
 
