@@ -154,7 +154,7 @@ def _score(n: int, names: list[str], total: int, backoff: float, least: int):
                               np.log(backoff ** 2 * c1 / max(1, total)))
         size = left.num_rows
         count = np.bincount(block.owner, minlength=size)
-        sums = np.bincount(block.owner, value, minlength=size)
+        sums = np.bincount(block.owner, value, minlength=size).astype(np.float64)
         return pa.table([*[left[c] for c in names], pa.array(count), pa.array(sums)], [*names, "n_words", "log_score"])
 
     return run
