@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None) -> None:
         writers.write_csv(A.tissue_counts(found), out("tissue_counts.csv"))
         writers.write_csv(A.max_corr_histogram(found), out("max_corr_histogram.csv"))
     elif args.method == "ae-gmm":
-        result = methods.ae_gmm(exp, args.n_clusters, GMM_SETTINGS)
+        result = methods.ae_gmm(exp, args.n_clusters, GMM_SETTINGS, checkpoint=out("checkpoints"))
         writers.write_clusters(result.clusters, out("gmm_clusters.csv"))
         writers.write_probabilities(result.clusters, out("gmm_clusters_prob.csv"), result.n_clusters)
         writers.write_latent(result.latent, out("Z.csv"), GMM_SETTINGS.latent)
@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> None:
         settings = replace(DEC_SETTINGS, batch_size=args.batch_size, epochs=args.maxiter, gamma=args.gamma, tol=args.tol,
                            pretrain_epochs=args.pretrain_epochs, update_interval=args.update_interval)
         weights = spark.read.parquet(args.ae_weights) if args.ae_weights else None
-        result = methods.dec(exp, args.n_clusters, settings, weights=weights)
+        result = methods.dec(exp, args.n_clusters, settings, weights=weights, checkpoint=out("checkpoints"))
         parameter_table(spark, result.model).write.mode("overwrite").parquet(out(args.ae_weight_file))
         writers.write_losses(spark, result.model.losses, out("losses.csv"))
         writers.write_clusters(result.clusters.drop("size_factor"), out("scdcc_clusters.csv"))

@@ -21,56 +21,61 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float],
     if n <= bound:
         row = values.agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q")).first()
         return list(row["q"])
-    values = cut(values)
-    return [_interpolate(values, n, p, bound) for p in probs]
-
-
-def _interpolate(values: DataFrame, n: int, p: float, bound: int) -> float:
-    position = (n - 1) * p
-    low = math.floor(position)
-    first, second = _neighbours(values, low, n, bound)
-    if position == low:
-        return first
-    if second is None:
-        second = values.filter(F.col("v") > first).agg(F.min("v")).first()[0]
-    return first + (second - first) * (position - low)
+    places = [(n - 1) * p for p in probs]
+    ranks = {r for x in places for r in (math.floor(x), math.ceil(x))}
+    found = order_statistics(cut(values), sorted(ranks), n, bound)
+    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in places]
 
 
 def order_statistic(values: DataFrame, rank: int, n: int, bound: int = QUANTILE_ROWS) -> float:
     """The value of 0-based ``rank`` in ``values(v)``."""
-    return _neighbours(values, rank, n, bound)[0]
+    return order_statistics(values, [rank], n, bound)[rank]
 
 
-def _neighbours(values: DataFrame, rank: int, n: int, bound: int) -> tuple[float, float | None]:
-    """Values of ``rank`` and ``rank + 1``; the second is None when it lies outside the band.
+def order_statistics(values: DataFrame, ranks: list[int], n: int, bound: int = QUANTILE_ROWS) -> dict[int, float]:
+    """The values of 0-based ``ranks`` in ``values(v)``, all in the same passes.
 
-    A bounded quantile sketch proposes two pivots around the rank and exact counts
-    tell which side of them the rank lies on. Each round excludes the pivots
-    themselves, so it always shrinks, whatever the ties.
+    For each rank a bounded quantile sketch proposes two pivots around it and exact counts tell which side of them it
+    lies on; one pass sketches, one counts. Each round excludes the pivots themselves, so every band shrinks, whatever
+    the ties. Bands that together fit the bound are listed in a last pass.
     """
-    band, below, inside = values, 0, n
-    while inside > bound:
-        centre = (rank - below) / max(inside - 1, 1)
-        probes = F.array(F.lit(max(0.0, centre - 0.01)), F.lit(min(1.0, centre + 0.01)))
-        left, right = band.agg(F.percentile_approx("v", probes, F.lit(20_000)).alias("q")).first()["q"]
-        v = F.col("v")
-        lt_left, le_left, lt_right, le_right = (below + c for c in band.agg(
-            F.count_if(v < left), F.count_if(v <= left),
-            F.count_if(v < right), F.count_if(v <= right)).first())
-        for pivot, lo, hi in ((left, lt_left, le_left), (right, lt_right, le_right)):
-            if lo <= rank < hi:
-                return pivot, pivot if rank + 1 < hi else None
-        if rank < lt_left:
-            band, inside = band.filter(v < left), lt_left - below
-        elif rank >= le_right:
-            band, below, inside = band.filter(v > right), le_right, below + inside - le_right
-        else:
-            band, below, inside = band.filter((v > left) & (v < right)), le_left, lt_right - le_left
-    seen, first = below, None
-    for row in band.groupBy("v").count().orderBy("v").collect():
-        seen += row["count"]
-        if first is None and rank < seen:
-            first = row["v"]
-        if first is not None and rank + 1 < seen:
-            return first, row["v"]
-    return first, None
+    v, found = F.col("v"), {}
+    bands = {r: (None, None, 0, n) for r in ranks}  # exclusive limits, values below, values inside
+
+    def inside(rank: int):
+        low, high, _, _ = bands[rank]
+        return (F.lit(True) if low is None else v > low) & (F.lit(True) if high is None else v < high)
+
+    while wide := [r for r in bands if bands[r][3] > max(1, bound // len(ranks))]:
+        probes = {}
+        for r in wide:
+            centre = (r - bands[r][2]) / max(bands[r][3] - 1, 1)
+            probes[r] = F.array(F.lit(max(0.0, centre - 0.01)), F.lit(min(1.0, centre + 0.01)))
+        pivots = values.agg(*[F.percentile_approx(F.when(inside(r), v), probes[r], F.lit(20_000)) for r in wide]).first()
+        counted = values.agg(*[F.count_if(test) for left, right in pivots
+                               for test in (v < left, v <= left, v < right, v <= right)]).first()
+        for k, (r, (left, right)) in enumerate(zip(wide, pivots)):
+            low, high, below, size = bands[r]
+            lt_left, le_left, lt_right, le_right = counted[4 * k:4 * k + 4]
+            if lt_left <= r < le_left or lt_right <= r < le_right:
+                found[r] = left if lt_left <= r < le_left else right
+                del bands[r]
+            elif r < lt_left:
+                bands[r] = low, left, below, lt_left - below
+            elif r >= le_right:
+                bands[r] = right, high, le_right, below + size - le_right
+            else:
+                bands[r] = left, right, le_left, lt_right - le_left
+    if bands:
+        near = F.lit(False)
+        for r in bands:
+            near = near | inside(r)
+        listed = [(row["v"], row["count"]) for row in values.filter(near).groupBy("v").count().orderBy("v").collect()]
+        for r, (low, high, below, _) in bands.items():
+            for value, count in listed:
+                if (low is None or value > low) and (high is None or value < high):
+                    below += count
+                    if r < below:
+                        found[r] = value
+                        break
+    return found

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.config import BROADCAST_VALUES
 from cellweave.operators import tiles
 from cellweave.operators.tiles import Tile
+from cellweave.session import ship
 
 PAIR_SCHEMA = "i long, j long, r double"
 # Correlations are compared at this many decimals, so that the order of pairs does
@@ -166,9 +169,56 @@ def jaccard(expr: DataFrame, rows: DataFrame, n_rows: int, minimum: float = 5.0)
 
 # --- two-sided -----------------------------------------------------------------------
 
+def _against_few(left: DataFrame, right: DataFrame, n_genes: int, left_rows: DataFrame, right_rows: DataFrame, emit) -> DataFrame:
+    """Correlations with a right side of checked size: its matrix goes to every task, left rows stay where they are."""
+    ship(left.sparkSession)
+    others = np.sort(right_rows.select(F.col("cell").cast("long")).toPandas().iloc[:, 0].to_numpy())
+    table = right.select("cell", "gene", "value").toPandas()
+    genes, slot = np.unique(table["gene"].to_numpy(np.int64), return_inverse=True)
+    dense = np.zeros((len(genes) + 1, len(others)))  # the last row stands for columns the right side lacks
+    np.add.at(dense, (slot, np.searchsorted(others, table["cell"].to_numpy(np.int64))), table["value"].to_numpy(float))
+    r1, r2 = dense.sum(0), (dense * dense).sum(0)
+    entry = F.collect_list(F.struct(F.col("gene").cast("long").alias("gene"), F.col("value").cast("double").alias("value"))).alias("e")
+    packed = left_rows.select(F.col("cell").cast("long").alias("cell")).join(
+        left.groupBy(F.col("cell").cast("long").alias("cell")).agg(entry), "cell", "left").select(
+        "cell", F.coalesce(F.col("e.gene"), F.array().cast("array<long>")).alias("genes"),
+        F.coalesce(F.col("e.value"), F.array().cast("array<double>")).alias("values"))
+    measure, width = _pearson_measure(n_genes), max(1, len(others))
+
+    def work(batches):
+        for batch in batches:
+            ids, lengths = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
+            ends = np.cumsum(lengths)
+            found, values = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            at = np.minimum(np.searchsorted(genes, found), max(0, len(genes) - 1))
+            at = np.where(genes[at] == found, at, len(genes)) if len(genes) else np.zeros(len(found), int)
+            first = 0
+            while first < len(ids):
+                start = ends[first] - lengths[first]
+                last = max(first + 1, int(np.searchsorted(ends, start + 4_000_000 // width, "right")))
+                part, rows = slice(start, ends[last - 1]), lengths[first:last]
+                some, cuts = np.flatnonzero(rows), np.cumsum(rows) - rows
+                gram, l1, l2 = np.zeros((last - first, len(others))), np.zeros(last - first), np.zeros(last - first)
+                if len(some):
+                    v = values[part]
+                    gram[some] = np.add.reduceat(v[:, None] * dense[at[part]], cuts[some], axis=0)
+                    l1[some], l2[some] = np.add.reduceat(v, cuts[some]), np.add.reduceat(v * v, cuts[some])
+                yield from emit(ids[first:last], others, measure(SimpleNamespace(gram=gram, left_stats=(l1, l2), right_stats=(r1, r2))))
+                first = last
+
+    return packed.mapInArrow(work, PAIR_SCHEMA)
+
+
+def _few(n_right: int, n_genes: int, left_rows: DataFrame | None, right_rows: DataFrame | None) -> bool:
+    return left_rows is not None and right_rows is not None and n_right * (n_genes + 1) <= BROADCAST_VALUES
+
+
 def cross_pearson(left: DataFrame, right: DataFrame, n_left: int, n_right: int, n_genes: int,
                   left_rows: DataFrame | None = None, right_rows: DataFrame | None = None) -> DataFrame:
     """(i, j, r) for every left row i and right row j; undefined r is NULL."""
+    if _few(n_right, n_genes, left_rows, right_rows):
+        return _against_few(left, right, n_genes, left_rows, right_rows, lambda ids, others, score: [batch_of(
+            "ijr", np.repeat(ids, len(others)), np.tile(others, len(ids)), score.ravel())])
     measure = _pearson_measure(n_genes)
 
     def consume(tile):
@@ -189,6 +239,15 @@ def best_match(left: DataFrame, right: DataFrame, n_left: int, n_right: int, n_g
 
     A tile sends one candidate per left row; rows without a defined r get NULLs.
     """
+    if _few(n_right, n_genes, left_rows, right_rows):
+        def first(ids, others, score):
+            if score.size:
+                best = np.argmax(np.where(np.isnan(score), -np.inf, score), axis=1)
+                r = score[np.arange(len(best)), best]
+                keep = ~np.isnan(r)
+                yield batch_of("ijr", ids[keep], others[best][keep], r[keep])
+
+        return _against_few(left, right, n_genes, left_rows, right_rows, first)
     measure = _pearson_measure(n_genes)
 
     def consume(tile):

@@ -84,13 +84,13 @@ def _training(exp: Experiment) -> tuple[ae.TrainingSet, DataFrame]:
 
 
 def ae_gmm(exp: Experiment, n_clusters: int | None = None, settings: AutoencoderSettings = GMM_SETTINGS,
-           restarts: int = 20) -> LatentResult:
+           restarts: int = 20, checkpoint: str | None = None) -> LatentResult:
     """Autoencoder with a mixture on its latent space; 0 or None clusters are estimated.
 
     Labels are the most probable component of the final responsibilities.
     """
     data, cells = _training(exp)
-    model = ae.fit_mixture(data, ae.pretrain(data, settings), n_clusters, restarts)
+    model = ae.fit_mixture(data, ae.pretrain(data, settings, checkpoint=checkpoint), n_clusters, restarts)
     latent = ae.encode(data, model)
     found = soft.gmm_responsibilities(latent, model.params["mu"], model.params["logits"].tolist())
     labelled = found.select(F.col("id").alias("cell"), "p",
@@ -99,7 +99,7 @@ def ae_gmm(exp: Experiment, n_clusters: int | None = None, settings: Autoencoder
 
 
 def dec(exp: Experiment, n_clusters: int, settings: AutoencoderSettings = DEC_SETTINGS, constraints: DataFrame | None = None,
-        weights: DataFrame | None = None, restarts: int = 20) -> LatentResult:
+        weights: DataFrame | None = None, restarts: int = 20, checkpoint: str | None = None) -> LatentResult:
     """Autoencoder trained towards its own sharpened assignment.
 
     ``weights`` is a saved parameter table that takes the place of pretraining.
@@ -107,9 +107,10 @@ def dec(exp: Experiment, n_clusters: int, settings: AutoencoderSettings = DEC_SE
     N.assert_counts(exp.expr)
     data, cells = _training(exp)
     if weights is None:
-        model = ae.pretrain(data, settings)
+        model = ae.pretrain(data, settings, checkpoint=checkpoint)
     else:
-        model = ae.load_parameters(weights, ae.pretrain(data, replace(settings, pretrain_epochs=0)))
+        model = ae.load_parameters(weights, ae.pretrain(data, replace(settings, pretrain_epochs=0), checkpoint=checkpoint))
+        model.settings = settings
     model = ae.fit_divergence(data, model, n_clusters, constraints, restarts)
     latent = ae.encode(data, model)
     found = soft.student_t_assign(latent, model.params["mu"], settings.alpha)
