@@ -39,14 +39,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int = SEED) -> np.ndarray:
-    """64-bit fingerprints of lower-cased word shingles, each bit by majority over the shingles' XXH64."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
+def text_shingles(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int = SEED
+                  ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of texts (first, last), the XXH64 of their lower-cased word shingles in order, and how many each text has."""
     for first, last in A.steps(offsets):
         lo, at = offsets[first], offsets[first:last + 1] - offsets[first]
         body = A.LOWER[data[lo:lo + at[-1]]]
         starts, ends = A.runs(~A.SPACE[body], at)
         if not len(starts):
+            yield first, last, np.zeros(0, np.uint64), np.zeros(last - first, np.int64)
             continue
         words = np.bincount(A.owner_of(at, starts), minlength=last - first)
         # words of a text moved together, one space between them
@@ -65,6 +66,13 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, s
         raw, digest = packed.tobytes(), xxhash.xxh64_intdigest
         hashes = np.array([digest(raw[s:e], seed) for s, e in zip(place[begin].tolist(), (place[until] - 1).tolist())],
                           np.uint64)
+        yield first, last, hashes, count
+
+
+def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int = SEED) -> np.ndarray:
+    """64-bit fingerprints of lower-cased word shingles, each bit by majority over the shingles' XXH64."""
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    for first, last, hashes, count in text_shingles(data, offsets, shingle, seed):
         out[first:last] = majority(hashes, count)
     return out
 
