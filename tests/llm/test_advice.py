@@ -48,3 +48,10 @@ def test_near_copies_of_given_documents(spark):
     expected = {rows[t][0] for t in top}
     worded = docs.filter(docs.doc_id.isin([i for i, _ in rows]))
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, worded, SF).select("doc_id").collect()} == expected
+
+
+def test_an_id_on_texts_of_two_classes_keeps_both(spark):
+    rows = [(2, "a b c d"), (2, "a b c d"), (2, "other words here now ok"), (3, "A b c D"), (4, "the third text stands alone"), (2, "")]
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, kept.collect())) == [
+        (2, ""), (2, "a b c d"), (2, "other words here now ok"), (4, "the third text stands alone")]
