@@ -10,9 +10,9 @@ evidence would score every text by itself.)
 
 The count tables are partitioned by hash. A block of documents is exploded into its distinct n-grams, with their counts
 in the block; these meet the other blocks' by hash, are summed there, and each block gets its n-grams' totals back,
-which it joins to its words and sums for each document. A trigram's key leads with the hash of its last two words, so a
-partition holds a bigram's count with those of all trigrams that end in it. A frequent n-gram is one row a block, not one
-an occurrence, so no partition is hot. Keys are sorted and stored as byte planes of their differences.
+which it joins to its words and sums for each document. Words, bigrams and trigrams are counted apart, each by a hash of
+64 bits of its own. A frequent n-gram is one row a block, not one an occurrence, so no partition is hot. A bucket is a
+range of hashes, so that sorted keys lie close; they are stored as byte planes of their differences.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ from cellweave.llm import arrays as A
 BACKOFF = 0.4
 LEAST = 2
 FINE = 1
-LEFT = np.uint64((1 << 24) - 1)
 _PACK = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 _PACKED = "block int, bucket int, kind int, body binary"
-WORDS, GRAMS = 0, 1
+WORDS, PAIRS, TRIPLES = KINDS = 0, 1, 2
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -60,7 +59,7 @@ def _requested(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(34)) % np.uint64(n)).astype(np.int64)
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 class Block:
@@ -81,16 +80,23 @@ class Block:
         same = self.owner[1:] == self.owner[:-1]
         self.depth[1:] += same
         self.depth[2:] += same[1:] & same[:-1]
-        gram = A.mix(self.word)
-        gram[1:] += self.word[:-1] * np.uint64(0x9E3779B97F4A7C15)
-        gram = A.mix(gram) & ~LEFT
-        gram[2:] |= np.where(self.depth[2:] > 1, np.maximum(A.mix(self.word[:-2]) & LEFT, np.uint64(1)), np.uint64(0))
-        self.words, at, self.word_count = np.unique(self.word, return_inverse=True, return_counts=True)
-        self.word_at, self.word = at.astype(np.int32), None
-        some = self.depth > 0
-        self.grams, at, self.gram_count = np.unique(gram[some], return_inverse=True, return_counts=True)
-        self.gram_at = np.zeros(n, np.int32)
-        self.gram_at[some] = at
+        pair = A.mix(self.word)
+        pair[1:] += self.word[:-1] * np.uint64(0x9E3779B97F4A7C15)
+        pair = A.mix(pair)
+        triple = A.mix(pair)
+        triple[2:] += self.word[:-2] * np.uint64(0x9E3779B97F4A7C15)
+        triple = A.mix(triple)
+        #: of each kind, the distinct keys and their counts, and where each word's key stands; 0 where it has none
+        self.keys, self.counts, self.at = [], [], []
+        for kind, full in ((WORDS, self.word), (PAIRS, pair), (TRIPLES, triple)):
+            some = self.depth >= kind
+            keys, at, counts = np.unique(full[some], return_inverse=True, return_counts=True)
+            place = np.zeros(n, np.int32)
+            place[some] = at
+            self.keys.append(keys)
+            self.counts.append(counts)
+            self.at.append(place)
+        self.word = None
 
 
 def _explode(n: int):
@@ -98,7 +104,7 @@ def _explode(n: int):
         block = Block(*A.text_buffer(table["text"]))
         number = table["block"][0].as_py()
         rows = []
-        for kind, keys, counts in ((WORDS, block.words, block.word_count), (GRAMS, block.grams, block.gram_count)):
+        for kind, keys, counts in zip(KINDS, block.keys, block.counts):
             for b, part in A.packed(np.arange(len(keys)), _bucket(keys, n), n):
                 rows.append((number, b, kind, _request(keys[part], counts[part])))
         return pa.Table.from_batches(list(A.batches(rows, _PACK)), _PACK)
@@ -116,12 +122,8 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [_requested(body) for _, body in asked]
         keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
         total = np.bincount(at, np.concatenate([c for _, c in found]).astype(np.float64)).astype(np.uint64)
-        columns = [total]
-        if kind == GRAMS:
-            _, pair = np.unique(keys & ~LEFT, return_inverse=True)
-            columns.append(np.bincount(pair, total.astype(np.float64)).astype(np.uint64)[pair])
         sizes = np.cumsum([0] + [len(k) for k, _ in found])
-        rows = ((block, bucket, kind, b"".join(planes(c[at[lo:hi]]) for c in columns))
+        rows = ((block, bucket, kind, planes(total[at[lo:hi]]))
                 for (block, _), lo, hi in zip(asked, sizes[:-1], sizes[1:]))
         yield from A.batches(rows, _PACK)
 
@@ -129,23 +131,15 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(n: int, names: list[str], total: int, backoff: float, least: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(*A.text_buffer(left["text"]))
-        single = np.zeros(len(block.words), np.uint64)
-        triple, double = np.zeros(len(block.grams), np.uint64), np.zeros(len(block.grams), np.uint64)
+        totals = [np.zeros(len(keys), np.uint64) for keys in block.keys]
         place = {}
-        for kind, keys in ((WORDS, block.words), (GRAMS, block.grams)):
+        for kind, keys in zip(KINDS, block.keys):
             for b, part in A.packed(np.arange(len(keys)), _bucket(keys, n), n):
                 place[kind, b] = part
         for bucket, kind, body in zip(*(right[c].to_pylist() for c in ("bucket", "kind", "body"))):
             spot = place[kind, bucket]
-            first, at = unplaned(body, 0, len(spot))
-            if kind == WORDS:
-                single[spot] = first
-            else:
-                triple[spot], double[spot] = first, unplaned(body, at, len(spot))[0]
-        c1 = single[block.word_at].astype(np.float64)
-        gram = block.gram_at if len(block.grams) else np.zeros(0, np.int64)
-        c2 = double[gram].astype(np.float64) if len(gram) else np.zeros(len(c1))
-        c3 = triple[gram].astype(np.float64) if len(gram) else np.zeros(len(c1))
+            totals[kind][spot] = unplaned(body, 0, len(spot))[0]
+        c1, c2, c3 = (total[at].astype(np.float64) if len(total) else np.zeros(len(at)) for total, at in zip(totals, block.at))
         before = lambda x: np.concatenate([[1.0], x[:-1]]) if len(x) else x
         by3 = (block.depth > 1) & (c3 >= least)
         by2 = (block.depth > 0) & (c2 >= least) & ~by3

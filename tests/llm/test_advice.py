@@ -1,9 +1,16 @@
 """Whole results where an operator once did less: against brute force."""
 
+import collections
+import math
 import random
 import re
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from cellweave.llm import arrays as A
+from cellweave.llm import lm
 from tests.llm import reference as R
 
 SF = "/root/testdata/sf0.01"
@@ -55,3 +62,36 @@ def test_an_id_on_texts_of_two_classes_keeps_both(spark):
     kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(map(tuple, kept.collect())) == [
         (2, ""), (2, "a b c d"), (2, "other words here now ok"), (4, "the third text stands alone")]
+
+
+def plain_scores(texts):
+    words = [t.split() for t in texts]
+    c = [collections.Counter(tuple(w[i:i + k]) for w in words for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+    total, out = sum(map(len, words)), []
+    for w in words:
+        x = 0.0
+        for i in range(len(w)):
+            if i > 1 and c[2][tuple(w[i - 2:i + 1])] > 1:
+                x += math.log(c[2][tuple(w[i - 2:i + 1])] / c[1][tuple(w[i - 2:i])])
+            elif i and c[1][tuple(w[i - 1:i + 1])] > 1:
+                x += math.log(.4 * c[1][tuple(w[i - 1:i + 1])] / c[0][w[i - 1],])
+            else:
+                x += math.log(.16 * c[0][w[i],] / total)
+        out.append(x)
+    return out
+
+
+def test_trigrams_that_share_24_bits_of_their_first_word_are_two(spark):
+    names = [f"w{i}" for i in range(20_000)]
+    data = np.frombuffer("".join(names).encode(), np.uint8)
+    ends = np.cumsum([len(x) for x in names])
+    cut = A.mix(A.range_hash(A.prefix_hash(data), ends - [len(x) for x in names], ends)) & np.uint64((1 << 24) - 1)
+    seen, pairs = {}, []
+    for name, bits in zip(names, cut.tolist()):
+        if bits in seen:
+            pairs.append((seen[bits], name))
+        seen[bits] = name
+    assert pairs
+    texts = [f"{u} v w" for pair in pairs for u in pair] + ["v w", "", "u v w u v w", "one"]
+    found = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).orderBy("doc_id").collect()
+    assert [r.log_score for r in found] == pytest.approx(plain_scores(texts))
