@@ -7,6 +7,8 @@ score, they are essential and their postings are traversed; from then on only do
 rest of the terms is probed for them alone, as long as they stay competitive. The k best of each shard are merged.
 
 Queries are taken in blocks and meet every shard once; a block and a shard are bounded numbers of rows.
+
+Vectors with components so large that doubles might round their scores are kept apart and scored in whole numbers.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from cellweave.session import cut
 SCALE = 256
 SHARD_ROWS = 4096
 BLOCK_QUERIES = 2048
-#: quantised components stay below this, so that every score is exact
-LARGEST = 1 << 22
+#: bound of (largest quantised component)^2 x components within which sums of products are exact in doubles
+EXACT = 2.0 ** 51
 #: documents scored at once to raise the threshold
 PROBES = 48
 STRIDE = 8
@@ -82,31 +84,58 @@ class Postings:
         return self.ids[found[order]], score[found[order]].astype(np.int64)
 
 
+def large(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The rows that doubles might not score exactly."""
+    with np.errstate(over="ignore"):
+        return np.abs(rows).max(axis=1, initial=0) ** 2 * lengths > EXACT
+
+
+def whole(rows: np.ndarray) -> np.ndarray:
+    """Whole numbers held as doubles, as Python integers."""
+    out = np.empty(rows.shape, object)
+    out.ravel()[:] = [int(x) for x in rows.ravel().tolist()]
+    return out
+
+
+def exact_top(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """The k best rows whose id isn't the query's, in integers of any size: ids and scores, ties to the smaller id."""
+    width = min(len(query), rows.shape[1])
+    others = ids != query_id
+    ids, rows, query = ids[others], rows[others][:, :width], query[:width]
+    if np.abs(rows).max(initial=0) * np.abs(query).max(initial=0) * width < 2.0 ** 62:
+        scores = (rows.astype(np.int64) @ query.astype(np.int64)).tolist()
+    else:
+        known = whole(query)
+        scores = [sum(a * b for a, b in zip(row, known) if a and b) for row in whole(rows)]
+    best = sorted(zip((-s for s in scores), ids.tolist()))[:k]
+    return [i for _, i in best], [-s for s, _ in best]
+
+
 def quantised(vectors: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """``id`` (long) and ``q`` (array<long>): floor(scale x component), without the rows that take no part."""
+    """``id`` (long) and ``q`` (array<double>): floor(scale x component), without the rows that take no part."""
     wide = F.col(vector).cast("array<double>")
-    largest = F.lit(float(LARGEST)) / scale
     return vectors.select(F.col(id_col).cast("long").alias("id"), wide.alias("x")).filter(
         F.col("id").isNotNull() & F.col("x").isNotNull()
-        & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < largest))).select(
-        "id", F.transform("x", lambda v: F.floor(v * scale)).alias("q"))
+        & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < math.inf))).select(
+        "id", F.transform("x", lambda v: v * scale).alias("q"))
 
 
-def _matrix(rows: pa.ChunkedArray) -> np.ndarray:
+def _matrix(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors, floored and filled with zeros to one length, and their own lengths."""
     lists = rows.combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(lists), int(lengths.max(initial=0))), np.int64)
-    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = lists.flatten().to_numpy()
-    return out
+    out = np.zeros((len(lists), int(lengths.max(initial=0))))
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = np.floor(lists.flatten().to_numpy(zero_copy_only=False))
+    return out, lengths
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding",
           scale: int = SCALE, shard_rows: int = SHARD_ROWS, block: int = BLOCK_QUERIES) -> DataFrame:
     """The ``k`` highest inner products of each row for which ``queries``, a condition on ``id``, holds, over all other rows.
 
-    query_id, rank (int, from 1), vec_id, score (long). Vectors that are null or hold a null, a non-finite number, or
-    one beyond ``LARGEST`` / ``scale``, and rows with a null id, take no part. Vectors of different lengths meet in the
+    query_id, rank (int, from 1), vec_id, score (long). Vectors that are null or hold a null or a non-finite number,
+    and rows with a null id, take no part. A score that doesn't fit a long raises. Vectors of different lengths meet in the
     components both have. Rows with the query's own id are no candidates; a repeated id is otherwise a row of its own,
     a repeated query id one query. Fewer than k candidates give fewer rows; no query, none.
     """
@@ -124,12 +153,24 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
-            lists = Postings(left["id"].to_numpy(), _matrix(left["q"]))
-            for number, query in zip(right["id"].to_pylist(), _matrix(right["q"])):
-                ids, scores = lists.top(number, query, k)
+            known, (rows, lengths) = left["id"].to_numpy(), _matrix(left["q"])
+            wide = large(rows, lengths)
+            lists = Postings(known[~wide], rows[~wide])
+            queries, lengths = _matrix(right["q"])
+            for number, query, far in zip(right["id"].to_pylist(), queries, large(queries, lengths).tolist()):
+                if far:
+                    ids, scores = exact_top(known, rows, number, query, k)
+                else:
+                    ids, scores = lists.top(number, query, k)
+                    if wide.any():
+                        more = exact_top(known[wide], rows[wide], number, query, k)
+                        best = sorted(zip((-s for s in [*scores.tolist(), *more[1]]), [*ids.tolist(), *more[0]]))[:k]
+                        ids, scores = [i for _, i in best], [-s for s, _ in best]
+                if any(not -1 << 63 <= s < 1 << 63 for s in (scores if isinstance(scores, list) else ())):
+                    raise OverflowError(f"a score of vector {number} is beyond 64 bits")
                 out[0].append(np.full(len(ids), number))
-                out[1].append(ids)
-                out[2].append(scores)
+                out[1].append(np.array(ids, np.int64))
+                out[2].append(np.array(scores, np.int64))
         return pa.table([np.concatenate(x or [np.zeros(0)]).astype(np.int64) for x in out], ["query_id", "vec_id", "score"])
 
     met = candidates.groupBy("shard", "block").cogroup(wanted.groupBy("shard", "block")).applyInArrow(

@@ -7,10 +7,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cellweave.llm import arrays as A
-from cellweave.llm import lm
+from cellweave.llm import lm, maxscore
 from tests.llm import reference as R
 
 SF = "/root/testdata/sf0.01"
@@ -95,3 +96,21 @@ def test_trigrams_that_share_24_bits_of_their_first_word_are_two(spark):
     texts = [f"{u} v w" for pair in pairs for u in pair] + ["v w", "", "u v w u v w", "one"]
     found = lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]).orderBy("doc_id").collect()
     assert [r.log_score for r in found] == pytest.approx(plain_scores(texts))
+
+
+def test_top_k_keeps_finite_vectors_of_any_size(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.standard_normal(6) * 10.0 ** rng.choice([0, 3, 4, 5])).tolist()) for i in range(300)]
+    rows += [(300, [20_000.0, 1.0]), (301, [1e8, 0.0, -1e-3]), (302, [2e7] * 6), (303, [2e7] * 5 + [2e7 + 1 / 256]), (304, []), (305, [float("inf")])]
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if all(map(math.isfinite, v))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in maxscore.top_k(df, (F.col("id") % 10 == 0) & (F.col("id") != 0), 5, shard_rows=70, block=8).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.score, r.vec_id))
+    asked = [(i, v) for i, v in good if i % 10 == 0 and i]
+    for q, v in asked:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:5]
+        assert found[q] == [(-s, i) for s, i in best]
+    assert len(found) == len(asked)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        maxscore.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("id") == 1).collect()
