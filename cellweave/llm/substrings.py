@@ -11,7 +11,7 @@ cut so that the strings that could be equal meet.
    passages; of equal ones among them, one goes on.
 3. These windows' text meets by anchor. Texts become phrases whose ends depend on the bytes before alone; the suffix
    array of all phrases of a task (:mod:`cellweave.llm.suffixes`) puts starts with a common continuation side by side, and
-   a start repeats if it agrees with a neighbour over ``length`` bytes.
+   a start repeats if a neighbour's string of ``length`` bytes has the same hash.
 4. An anchor that is frequent has its windows spread over all tasks, by their own hash. Starts there that met no equal
    meet once more, by the hash of their string.
 
