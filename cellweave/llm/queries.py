@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
-from cellweave.llm import caps, chat, language, lm, maxscore, mixing, pieces, simhash, substrings, toxicity
+from cellweave.llm import caps, chat, codebooks, divergence, language, lm, maxscore, mixing, pages, pieces, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,72 @@ SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
             + least(greatest(budget % source_size - before, 0), size) END AS BIGINT) AS taken
 FROM b"""
+
+
+@query
+def op11_html(table) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table("pages"))
+
+
+@query
+def op12_codes(table) -> DataFrame:
+    """Codes of all embeddings under codebooks trained on all of them."""
+    return codebooks.compress(table("embeddings"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The rounds one after another; parts are DOUBLE lists, whose whole-number dot products are exact."""
+    steps = [f"""
+r AS (SELECT vec_id, label, row_number() OVER () AS r, [CAST(floor({codebooks.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+z AS (SELECT CAST(ceil(max(len(x)) / {parts}) AS BIGINT) AS size FROM r),
+v AS MATERIALIZED (SELECT r, p, [CAST(coalesce(x[p * size + i], 0) AS DOUBLE) FOR i IN range(1, size + 1)] AS x
+      FROM r, z, (SELECT unnest(range({parts})) AS p)),
+b0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM r) JOIN v USING (r) WHERE e < {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT r, p, min(struct_pack(d := list_dot_product(x, x) - 2 * list_dot_product(x, y) + yy, e := e)) AS best
+      FROM (SELECT v.r, p, v.x, b.e, b.x AS y, list_dot_product(b.x, b.x) AS yy FROM v JOIN b{i} b USING (p)) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} AS (SELECT p, e, list(mean ORDER BY i) AS x
+      FROM (SELECT p, e, i, CAST((s - ((s % n) + n) % n) // n AS DOUBLE) AS mean
+            FROM (SELECT p, best.e AS e, i, CAST(sum(CAST(v.x[i] AS BIGINT)) AS BIGINT) AS s, count(*) AS n
+                  FROM a{i} JOIN v USING (r, p), z, unnest(range(1, size + 1)) AS t(i) GROUP BY ALL)) GROUP BY p, e),
+b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (p, e))""")
+    steps.append(f"""
+h AS (SELECT sha256(string_agg(CAST(CAST(x[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS books FROM b{rounds}, z, unnest(range(1, size + 1)) AS t(i)),
+c AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)""")
+    return "WITH" + ",".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books AS codebooks_sha256 FROM c JOIN r USING (r), h"""
+
+
+ORACLES["op12_codes"] = _codes_sql()
+
+
+@query
+def op13_divergence(table) -> DataFrame:
+    """How the sources of each language differ from it and from each other."""
+    return divergence.audit(table("documents"))
+
+
+ORACLES["op13_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+v AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+k AS (SELECT lang, count(*) AS kept, CAST(sum(total) AS BIGINT) AS lang_size FROM v GROUP BY lang),
+g AS (SELECT lang, source, CAST(coalesce(sum(n) FILTER (WHERE total IS NOT NULL), 0) AS BIGINT) AS size
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN v USING (lang, term) GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (size + kept) AS p,
+                          1 + 1000000000 * (total + 1) // (lang_size + kept) AS q
+                   FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 200"""
