@@ -1,8 +1,8 @@
 """Source divergence audit: how each source's words differ from its language's and from those of every other source.
 
 A count vectorizer for each language with a least document count and no bound on the vocabulary: documents become exact
-sparse vectors of term counts, kept as rows (document term, count) and summed by group at once. The vocabulary is a
-table, not a driver's dictionary, since it grows with the text. Group sums are evaluated sparsely: a pair of sources
+sparse vectors of term counts, summed by group in the task that reads them. The vocabulary is a table, not a driver's
+dictionary as in ml's CountVectorizer, since it grows with the text. Group sums are evaluated sparsely: a pair of sources
 needs the terms that either of them has; all terms that neither has contribute one equal value each.
 
 Pairs of sources are evaluated in tiles: sources are hashed into blocks, terms into chunks; a tile is two blocks and a
@@ -12,36 +12,67 @@ each of its pairs.
 
 from __future__ import annotations
 
-import string
+import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm import arrays as A
 from cellweave.session import cut
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: runs of ASCII letters and of the bytes of all other characters
+_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 UNIT = 1_000_000_000
 #: sources of one block, entries (source, term) of one chunk of terms, terms that a tile evaluates at once
 BLOCK, CHUNK, SLICE = 32, 1 << 18, 1 << 13
-
-
-def terms(text: Column) -> Column:
-    """The terms of a text: runs of ASCII letters and non-ASCII characters, only A-Z lower-cased."""
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))
+#: entries that a task holds before it sends them
+HELD = 1 << 18
 
 
 def group_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), n_docs: sums of the documents' sparse vectors over each (lang, source)."""
-    words = docs.select("lang", "source", F.sort_array(terms(F.col("text"))).alias("words"))
-    # in sorted order a term's first occurrence in its document differs from the word before it
-    first = F.transform("words", lambda w, i: F.struct(
-        w.alias("term"), F.when((i == 0) | (F.get(F.col("words"), i - 1) != w), 1).otherwise(0).alias("new")))
-    return words.select("lang", "source", F.inline(first)).groupBy("lang", "source", "term").agg(
-        F.count("*").alias("n"), F.sum("new").alias("n_docs"))
+    """lang, source, term, n (occurrences), n_docs: sums of the documents' sparse vectors over each (lang, source).
+
+    A task adds its documents' vectors up by group before anything is shuffled, and sends what it holds whenever that is
+    ``HELD`` entries.
+    """
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        holders: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        size = 0
+        for batch in it:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = _TERM.findall(text.as_buffer().to_pybytes().lower())  # of bytes, lower() takes A-Z alone
+                if found:
+                    group = total[lang, source]
+                    size -= len(group)
+                    group.update(found)
+                    size += len(group)
+                    holders[lang, source].update(set(found))
+                if size > HELD:
+                    yield from _sums(total, holders)
+                    size = 0
+        yield from _sums(total, holders)
+
+    return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, "lang string, source string, term string, n long, n_docs long").groupBy("lang", "source", "term").agg(
+        F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+
+
+def _sums(total: dict, holders: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, source), counts in total.items():
+        held = holders[lang, source]
+        words = list(counts)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([lang] * len(words), pa.string()), pa.array([source] * len(words), pa.string()),
+            pa.array(words, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in words], pa.int64()),
+            pa.array([held[w] for w in words], pa.int64())], ["lang", "source", "term", "n", "n_docs"])
+    total.clear()
+    holders.clear()
 
 
 def share(count: Column, size: Column, kept: Column) -> Column:
