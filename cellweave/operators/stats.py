@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,10 @@ from cellweave.operators.quantile import exact_quantiles
 from cellweave.session import cut
 
 TOP_GENES = 5000
+# Bound of the trend's n and of |ln b|: beyond it the curve no longer changes in doubles.
+BOX = 60.0
+# Starts of the trend's search: n, and ln b from where both terms of the denominator are equal in the middle.
+_BENDS, _OFFSETS = (-8.0, -4.0, -2.0, -1.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0), (-9.0, -6.0, -3.0, -1.0, 0.0, 1.0, 3.0, 6.0, 9.0)
 
 
 def gene_stats(expr: DataFrame, n_cells: int) -> DataFrame:
@@ -37,68 +40,95 @@ def trend(mean, a: float, n: float, b: float):
     return F.lit(a) * mean / (F.pow(mean, F.lit(n)) + F.lit(b))
 
 
-def fit_trend(stats: DataFrame, max_steps: int = 200, tol: float = 1.5e-8) -> tuple[float, float, float]:
-    """Least-squares fit of the mean-variance trend from (1, 1, 1).
+def fit_trend(stats: DataFrame, max_steps: int = 30, tol: float = 1e-9) -> tuple[float, float, float]:
+    """Least-squares fit (a, n, b) of the mean-variance trend.
 
-    Levenberg-Marquardt whose every step scores several damping values in one pass that returns only sums. Raises
-    RuntimeError if it hasn't converged after ``max_steps``.
+    For fixed n and b the best a is a ratio of two sums, so the search is over n and ln b alone, both without a scale. One
+    aggregate scores a grid of starts around the middle of the means, with (1, 1) among them; the best is refined by damped
+    steps, one aggregate each, which scores several of them at once. The search ends where the residual is orthogonal to
+    what n and ln b can change (cosine below ``tol``), or where no step lowers the squared error; data along a flat valley
+    of (a, b) end there too, at the edge of ``BOX`` if need be, with the error of the valley. Raises RuntimeError if
+    neither is reached in ``max_steps`` passes. Columns without a positive mean take no part; without any, the start
+    (1, 1, 1) is returned.
     """
-    data = cut(stats.filter("mean > 0").select("mean", "var_pop"))
-    if data.isEmpty():
+    data = cut(stats.filter("mean > 0").select(F.col("mean").alias("m"), F.ln("mean").alias("l"), F.col("var_pop").alias("v")))
+    middle = data.agg(F.avg("l")).first()[0]
+    if middle is None:
         return 1.0, 1.0, 1.0
-    return _marquardt(lambda thetas: _distributed_sums(data, thetas), max_steps, tol)
-
-
-def _marquardt(score, max_steps: int, tol: float) -> tuple[float, float, float]:
-    """``score(thetas)`` gives, per candidate, (error, J'J, J'r)."""
-    theta, damping = np.ones(3), 1e-3
-    (sse, jtj, jtr), = score([theta])
-    for _ in range(max_steps):
-        scale = np.diag(np.maximum(np.diag(jtj), 1e-300))
-        dampings = [damping * 10.0 ** e for e in (-2, -1, 0, 1, 2, 4)]
-        trials = [theta + np.linalg.lstsq(jtj + d * scale, jtr, rcond=None)[0] for d in dampings]
-        scored = score(trials)
-        best = min(range(len(trials)), key=lambda t: scored[t][0])
-        new_sse = scored[best][0]
-        if not new_sse < sse:
-            damping *= 1e5
-            if damping > 1e14:  # no step of any length is better
-                return tuple(float(t) for t in theta)
-            continue
-        gain, step = sse - new_sse, np.linalg.norm(trials[best] - theta)
-        theta, damping = trials[best], max(dampings[best], 1e-12)
-        sse, jtj, jtr = scored[best]
-        if sse == 0 or (gain <= tol * sse and step <= tol * (np.linalg.norm(theta) + tol)):
-            return tuple(float(t) for t in theta)
-    raise RuntimeError(f"the mean-variance trend did not converge in {max_steps} steps")
+    return _projected_search(lambda at: _projected_sums(data, at), middle, max_steps, tol)
+
 
+def _projected_sums(data: DataFrame, at: list[tuple[float, float]]) -> list[np.ndarray]:
+    """For each (n, ln b): the sums of products of v, the curve g of unit a, and g's slopes in n and ln b.
 
-def _sums(m: np.ndarray, v: np.ndarray, thetas) -> list[tuple]:
-    out = []
-    with np.errstate(all="ignore"):
-        for a, n, b in thetas:
-            power = m ** n
-            base = power + b
-            jac = np.stack([m / base, -a * m * power * np.log(m) / base ** 2, -a * m / base ** 2])
-            res = v - a * m / base
-            sse, jtj, jtr = float(res @ res), jac @ jac.T, jac @ res
-            finite = np.isfinite(sse) and np.isfinite(jtj).all() and np.isfinite(jtr).all()
-            out.append((sse, jtj, jtr) if finite else (np.inf, np.eye(3), np.zeros(3)))
+    The curve is scaled by 1 + b, which a takes up; a slope's part along the curve is left out, since a takes that up too.
+    """
+    point = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(b).alias("b")) for k, (n, b) in enumerate(at)]))
+    rest = 1.0 / (1.0 + F.exp(F.col("p.n") * F.col("l") - F.col("p.b")))  # b / (m^n + b)
+    curve = F.col("m") * F.col("rest") * (1.0 + F.exp(-F.col("p.b")))
+    rows = data.withColumn("p", point).withColumn("rest", rest).withColumn("g", curve).select(
+        F.col("p.k").alias("k"), "v", "g", (-F.col("g") * F.col("l") * (1.0 - F.col("rest"))).alias("dn"), (-F.col("g") * F.col("rest")).alias("db"))
+    names = ("v", "g", "dn", "db")
+    found = rows.groupBy("k").agg(*[F.sum(F.col(x) * F.col(y)).alias(f"{i}{j}")
+                                    for i, x in enumerate(names) for j, y in enumerate(names) if i <= j]).collect()
+    out = [np.full((4, 4), np.nan) for _ in at]
+    for row in found:
+        for i in range(4):
+            for j in range(i, 4):
+                out[row["k"]][i, j] = out[row["k"]][j, i] = row[f"{i}{j}"]
     return out
 
 
-def _distributed_sums(data: DataFrame, thetas) -> list[tuple]:
-    """One pass: every task returns the sums of its rows, one row per candidate. They are added exactly, in any order."""
-    def partial(batches):
-        for b in batches:
-            for c, (sse, jtj, jtr) in enumerate(_sums(b["mean"].to_numpy(), b["var_pop"].to_numpy(), thetas)):
-                yield pd.DataFrame({"c": c, "pos": range(13), "s": [sse, *jtj.ravel(), *jtr]})
+def _projected_search(score, middle: float, max_steps: int, tol: float) -> tuple[float, float, float]:
+    """``score(points)`` gives for each (n, ln b) the 4 x 4 sums of ``_projected_sums``; ``middle`` is a typical ln mean."""
+    starts = [(1.0, 0.0)] + [(n, float(np.clip(n * middle + off, -BOX, BOX))) for n in _BENDS for off in _OFFSETS]
+    graded = [(_reduced(s), s, x) for s, x in zip(score(starts), starts)]
+    (error, scale, normal, slope), sums, first = min(graded, key=lambda c: c[0][0])
+    at = np.array(first)
+    damping = 1e-2
+    for _ in range(max_steps - 1):
+        free = (np.abs(at) < BOX) | (slope * at < 0)  # at the edge only steps back into the box count
+        free &= np.diag(normal) > 1e-24 * scale * scale * sums[1, 1]
+        off = _cosine(error, normal, slope, free)
+        if error <= 1e-15 * sums[0, 0] or off <= tol:
+            return _trend_of(at, scale)
+        keep = np.ix_(free, free)
+        tried = []
+        for grade in (-3, -2, -1, 0, 1, 2, 4, 6):
+            step = np.zeros(2)
+            lifted = normal[keep] + damping * 10.0 ** grade * np.diag(np.diag(normal)[free])
+            step[free] = np.linalg.lstsq(lifted, slope[free], rcond=None)[0]
+            tried.append((damping * 10.0 ** grade, np.clip(at + step, -BOX, BOX)))
+        scored = [(_reduced(s), s, d, x) for s, (d, x) in zip(score([tuple(float(v) for v in x) for _, x in tried]), tried)]
+        best = min(scored, key=lambda c: c[0][0])
+        noise = 1e-12 * error + 1e-15 * sums[0, 0]
+        if best[0][0] > error - noise:  # as good as equal errors: the residual's angle tells more
+            best = min((c for c in scored if c[0][0] <= error + noise), default=None, key=lambda c: _cosine(*c[0][:1], *c[0][2:], free))
+            if best is None or not _cosine(*best[0][:1], *best[0][2:], free) < 0.9 * off:
+                return _trend_of(at, scale)
+        (error, scale, normal, slope), sums, damping, at = best
+        damping = min(max(damping, 1e-9), 1e9)
+    raise RuntimeError(f"the mean-variance trend did not converge in {max_steps} steps")
+
+
+def _cosine(error: float, normal: np.ndarray, slope: np.ndarray, free: np.ndarray) -> float:
+    """Largest cosine between the residual and what a free parameter can change."""
+    size = np.sqrt(np.diag(normal)[free] * error)
+    return float((np.abs(slope[free])[size > 0] / size[size > 0]).max(initial=0.0))
+
+
+def _reduced(sums: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(squared error, scaled a, J'J, J'r) with a at its best; an infinite error where the sums aren't finite."""
+    if not np.isfinite(sums).all() or not sums[1, 1] > 0:
+        return np.inf, 0.0, np.eye(2), np.zeros(2)
+    scale = sums[0, 1] / sums[1, 1]
+    along = sums[2:, 1]
+    normal = scale * scale * (sums[2:, 2:] - np.outer(along, along) / sums[1, 1])
+    return max(0.0, sums[0, 0] - scale * sums[0, 1]), scale, normal, scale * (sums[2:, 0] - scale * along)
+
 
-    sums = data.mapInPandas(partial, "c int, pos int, s double").groupBy("c", "pos").agg(F.collect_list("s").alias("s"))
-    table = np.zeros((len(thetas), 13))
-    for r in sums.collect():
-        table[r["c"], r["pos"]] = math.fsum(r["s"]) if np.isfinite(r["s"]).all() else np.inf
-    return [(t[0], t[1:10].reshape(3, 3), t[10:]) if np.isfinite(t).all() else (np.inf, np.eye(3), np.zeros(3)) for t in table]
+def _trend_of(at: np.ndarray, scale: float) -> tuple[float, float, float]:
+    return float(scale * (1.0 + math.exp(at[1]))), float(at[0]), float(math.exp(at[1]))
 
 
 def trend_excess(stats: DataFrame, theta: tuple[float, float, float]) -> DataFrame:

@@ -169,24 +169,20 @@ def gene_sd_median(t):
     return _one(t, sd_median=stats.sd_median(_gene_stats(t))).select(r6("sd_median").alias("sd_median"))
 
 
-@query()
+@query(Q.TREND + f"""SELECT gene, round(var_pop - a * mean / (pow(mean, n) + exp(b)), 6) + 0.0 AS excess FROM V, LAST
+ORDER BY var_pop - a * mean / (pow(mean, n) + exp(b)) DESC, gene LIMIT {TOP}""")
 def mean_variance_genes(t):
     table = N.cut(_gene_stats(t))
     return stats.top_excess_genes(table, stats.fit_trend(table), TOP).select("gene", r6("excess").alias("excess"))
 
 
-@query(Q.STATS + "SELECT count(*) AS n_genes, true AS stationary FROM V WHERE mean > 0")
+@query(Q.TREND + """SELECT count(*) AS n_genes, round(sum((var_pop - a * mean / (pow(mean, n) + exp(b))) ^ 2), 8) AS squared_error
+FROM V, LAST WHERE mean > 0""")
 def trend_residual(t):
-    """Is the fitted trend a least-squares fit? The gradient of the squared error in each parameter, next to its size."""
+    """Squared error of the fitted trend; SQL fits a trend of its own."""
     table = N.cut(_gene_stats(t).filter("mean > 0"))
-    a, n, b = stats.fit_trend(table)
-    m, power = F.col("mean"), F.pow("mean", F.lit(n))
-    base = power + F.lit(b)
-    rest = F.col("var_pop") - F.lit(a) * m / base
-    slopes = [m / base, -F.lit(a) * m * power * F.ln(m) / (base * base), -F.lit(a) * m / (base * base)]
-    sums = table.agg(F.count("*"), *[F.sum(rest * d) for d in slopes], *[F.sqrt(F.sum(rest * rest) * F.sum(d * d)) for d in slopes]).first()
-    flat = all(abs(sums[1 + k]) <= 1e-4 * sums[4 + k] + 1e-12 for k in range(3))
-    return t.spark.createDataFrame([(sums[0], flat)], "n_genes long, stationary boolean")
+    rest = F.col("var_pop") - stats.trend(F.col("mean"), *stats.fit_trend(table))
+    return table.agg(F.count("*").alias("n_genes"), F.round(F.sum(rest * rest), 8).alias("squared_error"))
 
 
 # --- similarities -----------------------------------------------------------------------------

@@ -31,6 +31,24 @@ STATS = GRID.rstrip() + """,
 V AS (SELECT gene, avg(value) AS mean, var_pop(value) AS var_pop FROM G GROUP BY gene)
 """
 
+# the trend fitted in SQL: n and b (its logarithm) by Gauss-Newton on the curve with a at its best, from the best of a grid
+TREND = STATS.replace("WITH", "WITH RECURSIVE", 1).rstrip() + """,
+D AS MATERIALIZED (SELECT mean::DOUBLE AS m, ln(mean)::DOUBLE AS l, var_pop::DOUBLE AS v FROM V WHERE mean > 0),
+START AS (SELECT n, b FROM (SELECT 1::DOUBLE AS n, 0::DOUBLE AS b UNION ALL
+  SELECT n, n * (SELECT avg(l) FROM D) + o FROM (SELECT unnest([-8, -4, -2, -1, 0.5, 1, 2, 4, 8, 16])::DOUBLE AS n), (SELECT unnest([-9, -6, -3, -1, 0, 1, 3, 6, 9])::DOUBLE AS o)), D
+  GROUP BY n, b ORDER BY sum(v * v) - sum(v * m / (exp(n * l) + exp(b))) ^ 2 / sum((m / (exp(n * l) + exp(b))) ^ 2) LIMIT 1),
+FIT(k, n, b) AS (SELECT 0, n, b FROM START UNION ALL
+  SELECT k + 1, n + (hb * sn - h * sb) / (ha * hb - h * h), b + (ha * sb - h * sn) / (ha * hb - h * h)
+  FROM (SELECT k, n, b, (1 + d) * s * s * (nn - ng * ng / gg) AS ha, (1 + d) * s * s * (bb - bg * bg / gg) AS hb, s * s * (nb - ng * bg / gg) AS h,
+               s * (vn - s * ng) AS sn, s * (vb - s * bg) AS sb
+        FROM (SELECT *, vg / gg AS s, CASE WHEN k < 20 THEN 0.3 ELSE 1e-6 END AS d
+              FROM (SELECT k, n, b, sum(v * g) AS vg, sum(g * g) AS gg, sum(v * dn) AS vn, sum(v * db) AS vb, sum(g * dn) AS ng, sum(g * db) AS bg,
+                           sum(dn * dn) AS nn, sum(db * db) AS bb, sum(dn * db) AS nb
+                    FROM (SELECT k, n, b, v, m / (exp(n * l) + exp(b)) AS g, -m * l * exp(n * l) / (exp(n * l) + exp(b)) ^ 2 AS dn,
+                                 -m * exp(b) / (exp(n * l) + exp(b)) ^ 2 AS db FROM FIT, D) GROUP BY k, n, b))) WHERE k < 80),
+LAST AS (SELECT n, b, sum(v * m / (exp(n * l) + exp(b))) / sum((m / (exp(n * l) + exp(b))) ^ 2) AS a FROM FIT, D WHERE k = 80 GROUP BY n, b)
+"""
+
 PEARSON = X.rstrip() + """,
 C AS (SELECT cell, sum(value) AS s1, sum(value * value) AS s2 FROM N GROUP BY cell),
 K AS (SELECT count(DISTINCT gene)::DOUBLE AS n FROM N),

@@ -9,6 +9,8 @@ from cellweave.operators import constraints, forest, graph, louvain, metrics, qu
 from cellweave.operators import normalize as N
 from cellweave.operators import similarity as S
 from cellweave.operators.keys import dense_index, grid, lookup_join
+from cellweave.plans import catalog
+from tests import oracle
 
 
 def peel(edges, n, k):
@@ -195,6 +197,37 @@ def test_dense_index_and_joins(spark):
     assert grid(big.select("x").distinct(), small, ["x"]).count() == 200
 
 
+def test_colours_part_neighbours_and_agree_in_both_forms(spark):
+    rng = np.random.default_rng(3)
+    pairs = np.unique(np.sort(rng.integers(0, 60, (240, 2)) * 7, axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    a, b = ends.reshape(pairs.shape).T
+    colour = louvain._array_colours(nodes, np.concatenate((a, b)), np.concatenate((b, a)), 5)
+    assert (colour[a] != colour[b]).all() and colour.max() <= np.bincount(np.concatenate((a, b))).max()
+    arcs = spark.createDataFrame([(int(x), int(y)) for x, y in np.concatenate((pairs, pairs[:, ::-1]))], "u long, v long")
+    table = spark.createDataFrame([(int(x),) for x in nodes], "cell long")
+    found = {r.cell: r.colour for r in louvain.colour_classes(table, arcs, 5, len(nodes)).collect()}
+    assert found == dict(zip(nodes.tolist(), colour.tolist()))
+
+
+def test_louvain_sweeps_are_bounded_on_a_chain(spark):
+    n = 10_000
+    i, w = np.arange(n - 1), np.full(n - 1, 1 << 20)
+    report = []
+    cells, where = louvain._array_levels(i, i + 1, w, 1.0, 123, report)
+    assert max(r["sweeps"] for r in report) < 16 and len(report) < 12
+    m = float(w.sum())
+    degree = np.bincount(np.searchsorted(np.unique(where), where), weights=np.bincount(i, w, n) + np.bincount(i + 1, w, n))
+    assert w[where[i] == where[i + 1]].sum() / m - (degree ** 2).sum() / (4 * m * m) > 0.97
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(90)], "i long, j long, weight double")
+    vertices = spark.range(91).withColumnRenamed("id", "cell")
+    told = []
+    far = louvain.louvain(vertices, edges, task_edges=0, report=told).orderBy("cell").collect()
+    assert far == louvain.louvain(vertices, edges).orderBy("cell").collect()
+    assert told[0]["nodes"] == 91 and all(t["colours"] <= 3 and t["sweeps"] < 16 for t in told)
+
+
 def test_moments_and_scaling(spark):
     dense, expr, rows = skewed_matrix(spark, 60)
     n = len(dense)
@@ -225,6 +258,33 @@ def test_trend_fit_finds_the_curve(spark):
     assert ((var - fitted) ** 2).sum() <= ((var - 3.0 * mean / (mean ** 1.4 + 2.0)) ** 2).sum()
 
 
+def test_trend_fit_of_flat_valleys(spark):
+    """Data of which only a ratio of parameters is determined: the fit still ends, at the valley's error."""
+    rng = np.random.default_rng(4)
+    mean = rng.uniform(0.5, 4, 200)
+    noise = rng.normal(0, 0.05, 200)
+    for var, order in [(2 * mean + noise, 1.0), (3 * mean ** -0.5 + noise, -0.5)]:
+        table = spark.createDataFrame([(g, float(m), float(v)) for g, (m, v) in enumerate(zip(mean, var))], "gene long, mean double, var_pop double")
+        a, n, b = stats.fit_trend(table)
+        plain = mean ** order
+        least = ((var - (var @ plain) / (plain @ plain) * plain) ** 2).sum()
+        assert ((var - a * mean / (mean ** n + b)) ** 2).sum() <= least * (1 + 1e-9)
+    assert stats.fit_trend(table.limit(0)) == stats.fit_trend(table.withColumn("mean", F.lit(0.0))) == (1.0, 1.0, 1.0)
+    flat = stats.fit_trend(table.withColumn("mean", F.lit(2.0)))
+    assert flat[0] * 2 / (2 ** flat[1] + flat[2]) == pytest.approx(var.mean())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_trend_fit_of_the_other_tables(spark, sf):
+    for name in ("trend_residual", "mean_variance_genes"):
+        found = catalog.QUERIES[name](spark, f"/root/testdata/{sf}").toPandas()
+        expected = oracle.database(f"/root/testdata/{sf}").sql(catalog.ORACLES[name]).df()
+        key = "gene" if "gene" in found else "n_genes"
+        both = found.merge(expected, on=key, suffixes=("", "_sql"))
+        value = [c for c in found.columns if c != key][0]
+        assert len(both) >= 0.999 * len(expected) and abs(both[value] - both[f"{value}_sql"]).max() < 1e-5
+
+
 def test_assignment_is_optimal():
     from itertools import permutations
 
