@@ -84,49 +84,48 @@ class Postings:
         return self.ids[found[order]], score[found[order]].astype(np.int64)
 
 
-def large(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The rows that doubles might not score exactly."""
+def large(rows: np.ndarray, lengths: np.ndarray, scale: int) -> np.ndarray:
+    """The unscaled rows that doubles might not score exactly."""
     with np.errstate(over="ignore"):
-        return np.abs(rows).max(axis=1, initial=0) ** 2 * lengths > EXACT
+        return (np.abs(rows).max(axis=1, initial=0) * scale + 1) ** 2 * lengths > EXACT
 
 
-def whole(rows: np.ndarray) -> np.ndarray:
-    """Whole numbers held as doubles, as Python integers."""
+def whole(rows: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale x component) as Python integers; a double of 2^60 or more is a whole number before it is scaled."""
     out = np.empty(rows.shape, object)
-    out.ravel()[:] = [int(x) for x in rows.ravel().tolist()]
+    out.ravel()[:] = [int(x) * scale if abs(x) >= 2.0 ** 60 else math.floor(x * scale) for x in rows.ravel().tolist()]
     return out
 
 
-def exact_top(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
-    """The k best rows whose id isn't the query's, in integers of any size: ids and scores, ties to the smaller id."""
+def exact_top(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int, scale: int) -> list[tuple[int, int]]:
+    """(-score, id) of the k best rows whose id isn't the query's, in integers of any size. Unscaled rows and query.
+
+    Scores beyond 64 bits have no place in a column of longs: such a pair is left out.
+    """
     width = min(len(query), rows.shape[1])
-    others = ids != query_id
-    ids, rows, query = ids[others], rows[others][:, :width], query[:width]
-    if np.abs(rows).max(initial=0) * np.abs(query).max(initial=0) * width < 2.0 ** 62:
-        scores = (rows.astype(np.int64) @ query.astype(np.int64)).tolist()
-    else:
-        known = whole(query)
-        scores = [sum(a * b for a, b in zip(row, known) if a and b) for row in whole(rows)]
-    best = sorted(zip((-s for s in scores), ids.tolist()))[:k]
-    return [i for _, i in best], [-s for s, _ in best]
-
-
-def quantised(vectors: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """``id`` (long) and ``q`` (array<double>): floor(scale x component), without the rows that take no part."""
+    others = np.flatnonzero(ids != query_id)
+    known = whole(query[:width], scale).tolist()
+    scores = [(-sum(a * b for a, b in zip(row, known) if a and b), i)
+              for row, i in zip(whole(rows[others][:, :width], scale).tolist(), ids[others].tolist())]
+    return sorted(s for s in scores if -1 << 63 <= -s[0] < 1 << 63)[:k]
+
+
+def complete(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """``id`` (long) and ``q`` (array<double>, not yet scaled), without the rows that take no part."""
     wide = F.col(vector).cast("array<double>")
     return vectors.select(F.col(id_col).cast("long").alias("id"), wide.alias("x")).filter(
         F.col("id").isNotNull() & F.col("x").isNotNull()
         & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < math.inf))).select(
-        "id", F.transform("x", lambda v: v * scale).alias("q"))
+        "id", F.col("x").alias("q"))
 
 
 def _matrix(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors, floored and filled with zeros to one length, and their own lengths."""
+    """The vectors, filled with zeros to one length, and their own lengths."""
     lists = rows.combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
     out = np.zeros((len(lists), int(lengths.max(initial=0))))
-    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = np.floor(lists.flatten().to_numpy(zero_copy_only=False))
+    out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
     return out, lengths
 
 
@@ -135,12 +134,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     """The ``k`` highest inner products of each row for which ``queries``, a condition on ``id``, holds, over all other rows.
 
     query_id, rank (int, from 1), vec_id, score (long). Vectors that are null or hold a null or a non-finite number,
-    and rows with a null id, take no part. A score that doesn't fit a long raises. Vectors of different lengths meet in the
+    and rows with a null id, take no part. A pair whose score doesn't fit a long is left out. Vectors of different lengths meet in the
     components both have. Rows with the query's own id are no candidates; a repeated id is otherwise a row of its own,
     a repeated query id one query. Fewer than k candidates give fewer rows; no query, none.
     """
     A.ready(vectors.sparkSession)
-    rows = cut(quantised(vectors, id_col, vector, scale))
+    rows = cut(complete(vectors, id_col, vector))
     asked = rows.filter(queries).dropDuplicates(["id"])
     shards = max(1, -(-rows.count() // shard_rows))
     blocks = max(1, -(-asked.count() // block))
@@ -154,20 +153,18 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             known, (rows, lengths) = left["id"].to_numpy(), _matrix(left["q"])
-            wide = large(rows, lengths)
-            lists = Postings(known[~wide], rows[~wide])
+            wide = large(rows, lengths, scale)
+            lists = Postings(known[~wide], np.floor(rows[~wide] * scale))
             queries, lengths = _matrix(right["q"])
-            for number, query, far in zip(right["id"].to_pylist(), queries, large(queries, lengths).tolist()):
+            for number, query, far in zip(right["id"].to_pylist(), queries, large(queries, lengths, scale).tolist()):
                 if far:
-                    ids, scores = exact_top(known, rows, number, query, k)
+                    best = exact_top(known, rows, number, query, k, scale)
                 else:
-                    ids, scores = lists.top(number, query, k)
+                    near, scores = lists.top(number, np.floor(query * scale), k)
+                    best = list(zip((-scores).tolist(), near.tolist()))
                     if wide.any():
-                        more = exact_top(known[wide], rows[wide], number, query, k)
-                        best = sorted(zip((-s for s in [*scores.tolist(), *more[1]]), [*ids.tolist(), *more[0]]))[:k]
-                        ids, scores = [i for _, i in best], [-s for s, _ in best]
-                if any(not -1 << 63 <= s < 1 << 63 for s in (scores if isinstance(scores, list) else ())):
-                    raise OverflowError(f"a score of vector {number} is beyond 64 bits")
+                        best = sorted(best + exact_top(known[wide], rows[wide], number, query, k, scale))[:k]
+                ids, scores = [i for _, i in best], [-s for s, _ in best]
                 out[0].append(np.full(len(ids), number))
                 out[1].append(np.array(ids, np.int64))
                 out[2].append(np.array(scores, np.int64))
