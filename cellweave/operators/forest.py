@@ -89,7 +89,7 @@ def rounds_for(n: int, mode: str = "floor") -> int:
 
 
 def kmst_graph(sim: Similarity, k: int, threshold: float = 0.0, inverse: bool = True) -> DataFrame:
-    """k-round forest over the pairs with r > threshold, without listing the pairs.
+    """k-round forest over the pairs with r > threshold, without listing the pairs; tiles that hold none are skipped.
 
     cost is 1 - r, or r itself when ``inverse`` is off.
     """
@@ -109,7 +109,7 @@ def kmst_graph(sim: Similarity, k: int, threshold: float = 0.0, inverse: bool =
         pick, _ = first_fit(i, j, cost, k)
         yield batch_of(("i", "j", "cost"), i[pick], j[pick], cost[pick])
 
-    return merge_forests(sim._run(consume, "i long, j long, cost double", key=True), k)
+    return merge_forests(sim._run(consume, "i long, j long, cost double", threshold, key=True), k)
 
 
 def spanning_forests(edges: DataFrame, k: int) -> DataFrame:

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.config import BROADCAST_VALUES
+from cellweave.config import BLOCK_ROWS, BROADCAST_VALUES
 from cellweave.operators import tiles
+from cellweave.operators.keys import dense_index, lookup_join
 from cellweave.operators.tiles import Tile
-from cellweave.session import ship
+from cellweave.session import cut, ship
 
 PAIR_SCHEMA = "i long, j long, r double"
 # Correlations are compared at this many decimals, so that the order of pairs does
@@ -91,20 +92,29 @@ class Similarity:
     """
 
     def __init__(self, expr: DataFrame, rows: DataFrame, n_rows: int, measure: Measure,
-                 support: bool = False):
+                 support: bool = False, metric_genes: int | None = None, block_rows: int = BLOCK_ROWS):
         self.expr, self.n_rows, self.measure, self.support = expr, n_rows, measure, support
         self.stats = tiles.row_stats(expr, rows)
-
-    def _run(self, consumer, schema, **kw) -> DataFrame:
+        # columns over which the score is the cosine of an angle, if it is one
+        self.metric_genes, self.block_rows = metric_genes, block_rows
+        self.skipped = 0.0  # share of tiles that the last run left out
+
+    def _run(self, consumer, schema, least: float | None = None, **kw) -> DataFrame:
+        """Tiles to ``consumer``; with ``least`` only those that can hold a pair of at least that score."""
+        plan, self.skipped = None, 0.0
+        if least is not None and self.metric_genes is not None and self.n_rows > 2 * self.block_rows:
+            plan = _pivot_plan(self.expr, self.stats, self.n_rows, self.metric_genes, least, self.block_rows)
+            self.skipped = plan.skipped
         side = (self.expr, self.stats)
-        return tiles.run_tiles(side, None, self.n_rows, None, consumer, schema, self.support, **kw)
+        return tiles.run_tiles(side, None, self.n_rows, None, consumer, schema, self.support, self.block_rows, plan=plan, **kw)
 
     def pairs(self, threshold: float | None = None, inclusive: bool = False) -> DataFrame:
         """(i, j, r) with i < j; undefined r is NULL, and absent under a threshold.
 
-        A threshold (r above it, or at it when ``inclusive``) is applied inside the tiles.
+        A threshold (r above it, or at it when ``inclusive``) is applied inside the tiles, and large inputs skip tiles
+        that hold no such pair.
         """
-        return self._run(_emit_pairs(self.measure, threshold, inclusive), PAIR_SCHEMA)
+        return self._run(_emit_pairs(self.measure, threshold, inclusive), PAIR_SCHEMA, threshold)
 
     def histogram(self) -> DataFrame:
         """Pairs per bin trunc(10 r + 10), 0..20; undefined r counts in bin 0."""
@@ -148,13 +158,49 @@ class Similarity:
         return found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
 
+# Angles come from scores rounded at DECIMALS; that much they may be off.
+_SLACK = 1e-5
+
+
+def _pivot_plan(expr: DataFrame, stats: DataFrame, n_rows: int, n_genes: int, least: float, block_rows: int) -> tiles.TilePlan:
+    """Blocks around pivots, and the tiles that the triangle inequality cannot rule out.
+
+    Centred rows of unit length have r = cos(angle), and angles obey the triangle inequality: two blocks whose pivots are
+    further apart than both radii plus arccos(least) hold no pair of that score. Pivots are the rows first by hash, two for
+    each block's worth of rows; a row joins its nearest, and what gathers at one pivot is split by hash into blocks of
+    ``block_rows``, each with a radius of its own. Constant rows have no r with anything and no block.
+    """
+    wanted = max(2, -(-2 * n_rows // block_rows))
+    n = F.lit(float(n_genes))
+    varied = stats.filter(n * F.col("s2") - F.col("s1") * F.col("s1") > 1e-12 * n * F.col("s2"))
+    pivots = cut(varied.select("cell", F.xxhash64("cell").alias("_h")).orderBy("_h", "cell").limit(wanted).select("cell"))
+    count = pivots.count()
+    around = cut(lookup_join(expr, pivots, "cell", count, "left_semi"))
+    near = cut(best_match(expr, around, n_rows, count, n_genes, stats.select("cell"), pivots).filter("r IS NOT NULL").select(
+        F.col("i").alias("cell"), F.col("j").alias("pivot"), F.acos(F.least("r", F.lit(1.0))).alias("angle")))
+    sizes = near.groupBy("pivot").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("parts"))
+    placed = lookup_join(near, sizes, "pivot", count).withColumn("part", F.pmod(F.xxhash64("cell"), "parts"))
+    blocks = cut(dense_index(placed.groupBy("pivot", "part").agg(F.max("angle").alias("radius")), ["pivot", "part"], "block").withColumn(
+        "block", F.col("block").cast("int")))
+    rows = cut(placed.join(blocks, ["pivot", "part"]).select("cell", "block"))
+    apart = cross_pearson(around, around, count, count, n_genes, pivots, pivots).select(
+        F.col("i").alias("pivot"), F.col("j").alias("beside"), F.acos(F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0))).alias("apart"))
+    ours = blocks.select("pivot", "block", "radius")
+    theirs = blocks.select(F.col("pivot").alias("beside"), F.col("block").alias("other"), F.col("radius").alias("_radius"))
+    reach = float(np.arccos(np.clip(least, -1.0, 1.0))) + _SLACK
+    met = cut(apart.join(ours, "pivot").join(theirs, "beside").filter(
+        F.col("apart") <= F.col("radius") + F.col("_radius") + F.lit(reach)).select("block", "other"))
+    total, kept = blocks.count(), met.filter("block <= other").count()
+    return tiles.TilePlan(rows, met, kept, 1.0 - kept / max(1, total * (total + 1) // 2))
+
+
 def rank_of(r: str):
     return F.floor(F.abs(F.round(F.col(r) * 10_000, 6))) * F.signum(r)
 
 
 def pearson(expr: DataFrame, rows: DataFrame, n_rows: int, n_genes: int) -> Similarity:
     """Pearson correlation over all ``n_genes`` columns, joint zeros included."""
-    return Similarity(expr, rows, n_rows, _pearson_measure(n_genes))
+    return Similarity(expr, rows, n_rows, _pearson_measure(n_genes), metric_genes=n_genes)
 
 
 def pearson_union_trunc(expr: DataFrame, rows: DataFrame, n_rows: int) -> Similarity:

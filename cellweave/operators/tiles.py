@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.config import BLOCK_BYTES, BLOCK_ROWS
+from cellweave.operators.keys import lookup_join
 from cellweave.session import ship
 
 # Row statistics carried in a block header, in this order.
@@ -61,9 +62,22 @@ def row_stats(expr: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return rows.select("cell").join(stats, "cell", "left").na.fill(0.0, list(STATS))
 
 
-def _pack(expr: DataFrame, stats: DataFrame, blocks: int) -> DataFrame:
-    """Header rows (kind 0: row ids and statistics) and column rows (kind 1)."""
-    block = F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int").alias("block")
+@dataclass
+class TilePlan:
+    """Blocks and tiles of a run that leaves tiles out.
+
+    ``rows`` is (cell, block), ``tiles`` (block, other) in both directions; rows without a block are in no tile.
+    """
+
+    rows: DataFrame
+    tiles: DataFrame
+    n_tiles: int
+    skipped: float
+
+
+def _pack(expr: DataFrame, stats: DataFrame, blocks: int | None) -> DataFrame:
+    """Header rows (kind 0: row ids and statistics) and column rows (kind 1); blocks by hash, or as they are given."""
+    block = F.col("block") if blocks is None else F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int").alias("block")
     header = (stats.groupBy(block)
               .agg(F.array_sort(F.collect_list(F.struct("cell", *STATS))).alias("e"))
               .select("block", F.lit(0).cast("byte").alias("kind"), F.lit(None).cast("long").alias("gene"),
@@ -79,17 +93,26 @@ def _pack(expr: DataFrame, stats: DataFrame, blocks: int) -> DataFrame:
 def run_tiles(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame] | None, n_left: int,
               n_right: int | None, consumer: Callable[[Tile], Iterator[pa.RecordBatch]], schema: str,
               support: bool = False, block_rows: int = BLOCK_ROWS, key: bool = False,
-              tuning: tuple = TUNING) -> DataFrame:
+              tuning: tuple = TUNING, plan: TilePlan | None = None) -> DataFrame:
     """Feed every tile of left x right (or of left x left, once per pair) to ``consumer``.
 
     ``left`` and ``right`` are (expr(cell, gene, value), stats) pairs. With ``key``
-    the output carries its tile coordinates ``bi``, ``bj`` in front.
+    the output carries its tile coordinates ``bi``, ``bj`` in front. A ``plan`` for left x left gives
+    the blocks and the tiles to feed.
     """
     spark = ship(left[0].sparkSession)
     cores = spark.sparkContext.defaultParallelism
     nl = block_count(n_left, cores, block_rows)
-    packed = _pack(*left, nl)
-    if right is None:
+    if plan is None:
+        packed = _pack(*left, nl)
+    else:
+        packed = _pack(*[lookup_join(side, plan.rows, "cell", n_left) for side in left], None)
+    if plan is not None:
+        pairs = packed.join(plan.tiles, "block").select(
+            F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
+            (F.col("block") > F.col("other")).cast("byte").alias("side"), "kind", "gene", "ids", "vals")
+        tiles = plan.n_tiles
+    elif right is None:
         nr = nl
         other = F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("other")
         pairs = packed.select("*", other).select(

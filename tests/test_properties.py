@@ -197,6 +197,31 @@ def test_dense_index_and_joins(spark):
     assert grid(big.select("x").distinct(), small, ["x"]).count() == 200
 
 
+def test_pruned_tiles_hold_all_pairs(spark):
+    """Clustered rows, constant rows, copies: the same pairs and forests from a fraction of the tiles."""
+    rng = np.random.default_rng(9)
+    group = np.arange(200) % 5
+    dense = np.round(np.maximum(0, rng.normal(size=(5, 40))[group] * 3 + rng.normal(0, 0.3, (200, 40)) + 4), 3)
+    dense[7] = 0
+    dense[11] = 2.0
+    dense[20:60:5] = dense[15]
+    entries = [(c * 3, g, float(v)) for c, row in enumerate(dense) for g, v in enumerate(row) if v]
+    expr = spark.createDataFrame(entries, "cell long, gene long, value double")
+    rows = spark.range(200).select((F.col("id") * 3).alias("cell"))
+    whole, pruned = (S.pearson(expr, rows, 200, 40) for _ in range(2))
+    pruned.block_rows = 10
+    for least, inclusive in ((0.8, False), (0.3, True)):
+        asked, found = (sorted(map(tuple, sim.pairs(least, inclusive).collect())) for sim in (whole, pruned))
+        assert len(asked) > 1000 and [p[:2] for p in found] == [p[:2] for p in asked]
+        assert max(abs(a[2] - b[2]) for a, b in zip(asked, found)) < 1e-9
+        assert whole.skipped == 0 and pruned.skipped > 0.5
+    trees = [{(e.i, e.j): e["round"] for e in forest.kmst_graph(sim, 2, threshold=0.4).collect()} for sim in (whole, pruned)]
+    assert trees[0] == trees[1] and pruned.skipped > 0.5
+    copies = S.pearson(expr.filter("cell % 15 = 0"), rows.filter("cell % 15 = 0"), 40, 40)
+    copies.block_rows = 2
+    assert copies.pairs(0.0).count() == S.pearson(expr.filter("cell % 15 = 0"), rows.filter("cell % 15 = 0"), 40, 40).pairs(0.0).count()
+
+
 def test_colours_part_neighbours_and_agree_in_both_forms(spark):
     rng = np.random.default_rng(3)
     pairs = np.unique(np.sort(rng.integers(0, 60, (240, 2)) * 7, axis=1), axis=0)
