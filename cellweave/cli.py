@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     method("kmst-union")
     p = method("ae-gmm")
     p.add_argument("--n_clusters", type=int, default=0, help="0 estimates the number")
+    p.add_argument("--resume", action="store_true", help="go on from the checkpoints in the results folder")
     p = method("correlations")
     p.add_argument("--atlas", required=True)
     p = method("scdcc")
@@ -42,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tol", type=float, default=0.001)
     p.add_argument("--ae_weights", default=None, help="parameter table that replaces pretraining")
     p.add_argument("--ae_weight_file", default="ae_weights")
+    p.add_argument("--resume", action="store_true", help="go on from the checkpoints in the results folder")
     p = sub.add_parser("metrics")
     p.add_argument("gs_labels")
     p.add_argument("test_labels")
@@ -80,7 +82,7 @@ def main(argv: list[str] | None = None) -> None:
         writers.write_csv(A.tissue_counts(found), out("tissue_counts.csv"))
         writers.write_csv(A.max_corr_histogram(found), out("max_corr_histogram.csv"))
     elif args.method == "ae-gmm":
-        result = methods.ae_gmm(exp, args.n_clusters, GMM_SETTINGS, checkpoint=out("checkpoints"))
+        result = methods.ae_gmm(exp, args.n_clusters, GMM_SETTINGS, checkpoint=out("checkpoints"), resume=args.resume)
         writers.write_clusters(result.clusters, out("gmm_clusters.csv"))
         writers.write_probabilities(result.clusters, out("gmm_clusters_prob.csv"), result.n_clusters)
         writers.write_latent(result.latent, out("Z.csv"), GMM_SETTINGS.latent)
@@ -91,7 +93,7 @@ def main(argv: list[str] | None = None) -> None:
         settings = replace(DEC_SETTINGS, batch_size=args.batch_size, epochs=args.maxiter, gamma=args.gamma, tol=args.tol,
                            pretrain_epochs=args.pretrain_epochs, update_interval=args.update_interval)
         weights = spark.read.parquet(args.ae_weights) if args.ae_weights else None
-        result = methods.dec(exp, args.n_clusters, settings, weights=weights, checkpoint=out("checkpoints"))
+        result = methods.dec(exp, args.n_clusters, settings, weights=weights, checkpoint=out("checkpoints"), resume=args.resume)
         parameter_table(spark, result.model).write.mode("overwrite").parquet(out(args.ae_weight_file))
         writers.write_losses(spark, result.model.losses, out("losses.csv"))
         writers.write_clusters(result.clusters.drop("size_factor"), out("scdcc_clusters.csv"))

@@ -84,13 +84,14 @@ def _training(exp: Experiment) -> tuple[ae.TrainingSet, DataFrame]:
 
 
 def ae_gmm(exp: Experiment, n_clusters: int | None = None, settings: AutoencoderSettings = GMM_SETTINGS,
-           restarts: int = 20, checkpoint: str | None = None) -> LatentResult:
+           restarts: int = 20, checkpoint: str | None = None, resume: bool = False) -> LatentResult:
     """Autoencoder with a mixture on its latent space; 0 or None clusters are estimated.
 
-    Labels are the most probable component of the final responsibilities.
+    Labels are the most probable component of the final responsibilities. ``resume`` goes on from the last state in
+    ``checkpoint``.
     """
     data, cells = _training(exp)
-    model = ae.fit_mixture(data, ae.pretrain(data, settings, checkpoint=checkpoint), n_clusters, restarts)
+    model = ae.fit_mixture(data, ae.pretrain(data, settings, checkpoint=checkpoint, resume=resume), n_clusters, restarts)
     latent = ae.encode(data, model)
     found = soft.gmm_responsibilities(latent, model.params["mu"], model.params["logits"].tolist())
     labelled = found.select(F.col("id").alias("cell"), "p",
@@ -99,17 +100,20 @@ def ae_gmm(exp: Experiment, n_clusters: int | None = None, settings: Autoencoder
 
 
 def dec(exp: Experiment, n_clusters: int, settings: AutoencoderSettings = DEC_SETTINGS, constraints: DataFrame | None = None,
-        weights: DataFrame | None = None, restarts: int = 20, checkpoint: str | None = None) -> LatentResult:
+        weights: DataFrame | None = None, restarts: int = 20, checkpoint: str | None = None, resume: bool = False) -> LatentResult:
     """Autoencoder trained towards its own sharpened assignment.
 
-    ``weights`` is a saved parameter table that takes the place of pretraining.
+    ``weights`` is a saved parameter table that takes the place of pretraining. ``resume`` goes on from the last state in
+    ``checkpoint``.
     """
     N.assert_counts(exp.expr)
     data, cells = _training(exp)
     if weights is None:
-        model = ae.pretrain(data, settings, checkpoint=checkpoint)
+        model = ae.pretrain(data, settings, checkpoint=checkpoint, resume=resume)
     else:
-        model = ae.load_parameters(weights, ae.pretrain(data, replace(settings, pretrain_epochs=0), checkpoint=checkpoint))
+        model = ae.pretrain(data, replace(settings, pretrain_epochs=0), checkpoint=checkpoint, resume=resume)
+        if not model.kept:
+            model = ae.load_parameters(weights, model)
         model.settings = settings
     model = ae.fit_divergence(data, model, n_clusters, constraints, restarts)
     latent = ae.encode(data, model)

@@ -113,6 +113,53 @@ def test_many_tasks_and_averaging(groups):
     assert latent.count() == 150 and latent.select("id").distinct().count() == 150
 
 
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("kind", ["mixture", "divergence"])
+def test_resumed_training_equals_an_unbroken_run(spark, groups, kind, tmp_path, monkeypatch):
+    exp, _ = groups
+    norm = N.normalize(exp)
+    data = ae.training_set(norm.raw, norm.expr, norm.cells, shard_rows=60)
+    base = GMM_SETTINGS if kind == "mixture" else replace(DEC_SETTINGS, update_interval=2, tol=0.0)
+    settings = replace(base, **{**BRIEF, "pretrain_epochs": 6, "passes": 2, "epochs": 8 if kind == "mixture" else 4})
+    plain = ae._train
+
+    def run(folder, stop=None, resume=False):
+        calls = [0]
+
+        def train(*args, **more):
+            calls[0] += 1
+            if calls[0] == stop:
+                raise Killed
+            return plain(*args, **more)
+
+        monkeypatch.setattr(ae, "_train", train)
+        model = ae.pretrain(data, settings, checkpoint=str(folder), resume=resume, every=2)
+        if kind == "mixture":
+            return ae.fit_mixture(data, model, 3, 2), calls[0]
+        return ae.fit_divergence(data, model, 3, None, 2), calls[0]
+
+    whole, rounds = run(tmp_path / "whole")
+    assert rounds == 7
+    for stop in (3, 6):  # in the second pretraining round after a save, and in the phase after
+        with pytest.raises(Killed):
+            run(tmp_path / f"cut{stop}", stop)
+        again, left = run(tmp_path / f"cut{stop}", resume=True)
+        assert left < rounds and again.losses == whole.losses and again.params.keys() == whole.params.keys()
+        assert all(v.dtype == whole.params[k].dtype and (v == whole.params[k]).all() for k, v in again.params.items())
+    newest = max((tmp_path / "cut6").iterdir())
+    (newest / "_SUCCESS").unlink()  # a state that wasn't written whole doesn't count
+    found = ae.last_state(spark, str(tmp_path / "cut6"))
+    assert f"{found.phase}-{found.done:06d}" != newest.name
+    assert ae.last_state(spark, str(tmp_path / "nothing")) is None
+    with pytest.raises(ValueError):
+        ae.pretrain(data, replace(settings, batch_size=16), checkpoint=str(tmp_path / "whole"), resume=True)
+    ae.pretrain(data, replace(settings, pretrain_epochs=0), checkpoint=str(tmp_path / "cut3"))
+    assert ae.last_state(spark, str(tmp_path / "cut3")) is None  # a new run doesn't leave another's states
+
+
 def test_estimated_clusters(groups):
     exp, _ = groups
     result = methods.ae_gmm(exp, None, replace(GMM_SETTINGS, pretrain_rate=5e-3, epochs=2, **BRIEF), restarts=2)
