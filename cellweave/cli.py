@@ -81,6 +81,8 @@ def main(argv: list[str] | None = None) -> None:
         writers.write_csv(found, out("results.csv"))
         writers.write_csv(A.tissue_counts(found), out("tissue_counts.csv"))
         writers.write_csv(A.max_corr_histogram(found), out("max_corr_histogram.csv"))
+        writers.write_csv(A.max_corr_bins(found), out("max_corr_bins.csv"))
+        writers.write_csv(A.max_corr_density(found), out("max_corr_density.csv"))
     elif args.method == "ae-gmm":
         result = methods.ae_gmm(exp, args.n_clusters, GMM_SETTINGS, checkpoint=out("checkpoints"), resume=args.resume)
         writers.write_clusters(result.clusters, out("gmm_clusters.csv"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.model import Experiment
+from cellweave.operators.distribution import automatic_histogram, density_curve
 from cellweave.operators.keys import dense_index, lookup_join, may_broadcast
 from cellweave.operators.normalize import dedup_symbols
 from cellweave.operators.similarity import best_match, cross_pearson
@@ -81,3 +82,13 @@ def max_corr_histogram(annotated: DataFrame, bins: int = 20) -> DataFrame:
     """Rows per equal-width bin of [0, 1]; 0 is below and bins + 1 at or above the range."""
     return (annotated.filter("max_corr IS NOT NULL")
             .groupBy(F.expr(f"width_bucket(max_corr, 0D, 1D, {bins})").alias("bin")).agg(F.count("*").alias("n")))
+
+
+def max_corr_bins(annotated: DataFrame) -> DataFrame:
+    """(bin, low, high, n): the histogram of the best correlations in automatic bins."""
+    return automatic_histogram(annotated, "max_corr")
+
+
+def max_corr_density(annotated: DataFrame, points: int = 200) -> DataFrame:
+    """(x, density): the curve over that histogram."""
+    return density_curve(annotated, "max_corr", points)

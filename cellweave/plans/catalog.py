@@ -376,6 +376,16 @@ def max_corr_histogram(t):
     return A.max_corr_histogram(_annotated(t))
 
 
+@query(Q.ATLAS + Q.BINS)
+def max_corr_bins(t):
+    return A.max_corr_bins(_annotated(t)).select("bin", r6("low").alias("low"), r6("high").alias("high"), "n")
+
+
+@query(Q.ATLAS + Q.DENSITY)
+def max_corr_density(t):
+    return A.max_corr_density(_annotated(t)).select(r6("x").alias("x"), (F.round("density", 5) + F.lit(0.0)).alias("density"))
+
+
 # --- metrics --------------------------------------------------------------------------------------
 
 def _label_pairs(t: Tables) -> DataFrame:

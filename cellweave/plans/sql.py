@@ -254,3 +254,19 @@ def constraints(rule: str, flip: float = 0.0) -> str:
 PAIRWISE = POINTS + _DRAWS + LABEL_RULE + _KEEP + """SELECT kind, round(avg(CASE WHEN kind = 'ML' THEN -ln(s) ELSE -ln(1 - s) END), 6) AS loss
 FROM (SELECT k.a, k.b, k.kind, sum(x.q * y.q) AS s FROM KEPT k JOIN QS x ON x.id = k.a JOIN QS y ON y.id = k.b AND y.cluster = x.cluster
 GROUP BY ALL) GROUP BY kind"""
+
+# automatic bins: the narrower of the Freedman-Diaconis (at least half the square-root rule's) and the Sturges width
+BINS = """, V AS (SELECT r AS v FROM AN WHERE r IS NOT NULL),
+W AS (SELECT count(*) AS n, min(v) AS low, max(v) AS high,
+      greatest(2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / count(*) ^ (1 / 3), (max(v) - min(v)) / sqrt(count(*)) / 2) AS fd,
+      (max(v) - min(v)) / (log2(count(*)) + 1) AS st FROM V),
+K AS (SELECT low, high, CAST(ceil((high - low) / least(fd, st)) AS BIGINT) AS bins FROM W),
+C AS (SELECT least(floor((v - low) * (bins / (high - low))), bins - 1)::BIGINT AS bin, count(*) AS n FROM V, K GROUP BY 1)
+SELECT bin, round(low + bin * (high - low) / bins, 6) AS low, round(low + (bin + 1) * (high - low) / bins, 6) AS high, coalesce(n, 0) AS n
+FROM (SELECT unnest(range(bins)) AS bin, low, high, bins FROM K) LEFT JOIN C USING (bin)"""
+
+DENSITY = """, V AS (SELECT r AS v FROM AN WHERE r IS NOT NULL),
+W AS (SELECT count(*) AS n, min(v) AS low, max(v) AS high, stddev_samp(v) * count(*) ^ (-0.2) AS h FROM V),
+X AS (SELECT low + (high - low) * k / 199 AS x, n, h FROM (SELECT unnest(range(200)) AS k), W)
+SELECT round(x, 6) AS x, round(sum(exp(-0.5 * ((x - v) / h) ^ 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 5) AS density
+FROM X, V GROUP BY x"""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.config import TASK_EDGES
-from cellweave.operators import constraints, forest, graph, louvain, metrics, quantile, soft, stats, tiles
+from cellweave.operators import constraints, distribution, forest, graph, louvain, metrics, quantile, soft, stats, tiles
 from cellweave.operators import normalize as N
 from cellweave.operators import similarity as S
 from cellweave.operators.keys import dense_index, grid, lookup_join
@@ -253,6 +253,25 @@ def test_louvain_sweeps_are_bounded_on_a_chain(spark):
     assert told[0]["nodes"] == 91 and all(t["colours"] <= 3 and t["sweeps"] < 16 for t in told)
 
 
+def test_automatic_bins_and_density(spark):
+    rng = np.random.default_rng(12)
+    for values in (rng.normal(0.4, 0.1, 700), np.concatenate((rng.beta(2, 5, 300), np.full(40, 0.25))), np.repeat([0.1, 0.2, 0.9], [60, 3, 3]), np.array([0.3, 0.7])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "x double").repartition(4)
+        count, edges = np.histogram(values, "auto")
+        bins = distribution.automatic_histogram(df, "x").orderBy("bin").collect()
+        assert [b.bin for b in bins] == list(range(len(count))) and sum(b.n for b in bins) == len(values)
+        assert np.abs(np.cumsum([b.n for b in bins]) - np.cumsum(count)).max() <= 1  # a value at an edge may round to either side
+        assert [b.low for b in bins] + [bins[-1].high] == pytest.approx(edges.tolist())
+        curve = distribution.density_curve(df, "x").orderBy("x").collect()
+        h = values.std(ddof=1) * len(values) ** -0.2
+        x = np.linspace(values.min(), values.max(), 200)
+        direct = np.exp(-0.5 * ((x[:, None] - values) / h) ** 2).sum(1) / (len(values) * h * np.sqrt(2 * np.pi))
+        assert [c.x for c in curve] == pytest.approx(x.tolist()) and np.abs(np.array([c.density for c in curve]) - direct).max() < 1e-6
+    same = spark.createDataFrame([(2.0,)] * 5, "x double")
+    assert [tuple(b) for b in distribution.automatic_histogram(same, "x").collect()] == [(0, 1.5, 2.5, 5)]
+    assert distribution.density_curve(same, "x").count() == distribution.automatic_histogram(same.limit(0), "x").count() == 0
+
+
 def test_moments_and_scaling(spark):
     dense, expr, rows = skewed_matrix(spark, 60)
     n = len(dense)
