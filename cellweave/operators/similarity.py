@@ -345,59 +345,76 @@ def distance_quantiles(points: DataFrame, n: int, probs: list[float], bins: int
                        bound: int = 200_000) -> list[float]:
     """Exact interpolated quantiles of all positive pair distances.
 
-    Tiles send histograms, not distances. Each round zooms into the bin that holds
-    the wanted rank until that bin is small enough to list.
+    Tiles send histograms, not distances. Each pass zooms into the bins that hold the wanted ranks, all of them at once,
+    until the bins are small enough to be listed together in a last pass.
     """
-    def tally(lo: float, hi: float) -> np.ndarray:
+    def cells(zl, zr, diagonal):
+        d = distance_block(zl, zr)
+        return d[np.triu_indices_from(d, 1)] if diagonal else d.ravel()
+
+    def tally(bands: list[tuple[float, float]]) -> dict[tuple[float, float], list]:
         def consume(_il, zl, _xl, _ir, zr, _xr, diagonal):
-            d = distance_block(zl, zr)
-            d = d[np.triu_indices_from(d, 1)] if diagonal else d.ravel()
-            d = d[(d > 0) & (d >= lo) & (d <= hi)]
-            slot = np.minimum(((d - lo) * (bins / (hi - lo))).astype(np.int64), bins - 1)
-            counts = np.bincount(slot, minlength=bins)
-            used = np.flatnonzero(counts)
-            least, most = np.full(bins, np.inf), np.full(bins, -np.inf)
-            np.minimum.at(least, slot, d)
-            np.maximum.at(most, slot, d)
-            yield batch_of(("slot", "n", "least", "most"), used, counts[used], least[used], most[used])
-
-        found = tiles.run_vector_tiles(points, n, consume, "slot long, n long, least double, most double")
-        return found.groupBy("slot").agg(F.sum("n"), F.min("least"), F.max("most")).orderBy("slot").collect()
-
-    def listed(lo: float, hi: float) -> list:
+            every = cells(zl, zr, diagonal)
+            for number, (lo, hi) in enumerate(bands):
+                d = every[(every > 0) & (every >= lo) & (every <= hi)]
+                slot = np.minimum(((d - lo) * (bins / (hi - lo))).astype(np.int64), bins - 1)
+                counts = np.bincount(slot, minlength=bins)
+                used = np.flatnonzero(counts)
+                least, most = np.full(bins, np.inf), np.full(bins, -np.inf)
+                np.minimum.at(least, slot, d)
+                np.maximum.at(most, slot, d)
+                yield batch_of(("band", "slot", "n", "least", "most"), np.full(len(used), number), used, counts[used], least[used], most[used])
+
+        found = tiles.run_vector_tiles(points, n, consume, "band long, slot long, n long, least double, most double")
+        out: dict[tuple[float, float], list] = {b: [] for b in bands}
+        for band, _, count, least, most in found.groupBy("band", "slot").agg(F.sum("n"), F.min("least"), F.max("most")).orderBy("band", "slot").collect():
+            out[bands[band]].append((count, least, most))
+        return out
+
+    def listed(bands: list[tuple[float, float]]) -> dict[tuple[float, float], list]:
         def consume(_il, zl, _xl, _ir, zr, _xr, diagonal):
-            d = distance_block(zl, zr)
-            d = d[np.triu_indices_from(d, 1)] if diagonal else d.ravel()
-            yield batch_of("d", d[(d > 0) & (d >= lo) & (d <= hi)])
-
-        return tiles.run_vector_tiles(points, n, consume, "d double").groupBy("d").count().orderBy("d").collect()
+            every = cells(zl, zr, diagonal)
+            for number, (lo, hi) in enumerate(bands):
+                d = every[(every > 0) & (every >= lo) & (every <= hi)]
+                yield batch_of(("band", "d"), np.full(len(d), number), d)
 
-    def pick(rows, rank: int, below: int):
-        for row in rows:
-            if rank < below + row[1]:
-                return row, below
-            below += row[1]
-        raise ValueError("no positive distances")
+        out: dict[tuple[float, float], list] = {b: [] for b in bands}
+        for band, d, count in tiles.run_vector_tiles(points, n, consume, "band long, d double").groupBy("band", "d").count().orderBy("band", "d").collect():
+            out[bands[band]].append((count, d, d))
+        return out
 
     extent = points.agg(F.max(F.aggregate(F.transform("z", lambda x: x * x), F.lit(0.0), lambda a, x: a + x))).first()[0]
-    top = 2.0 * float(np.sqrt(extent or 0.0)) * (1 + 1e-9) + 1e-300
-    outer = tally(0.0, top)
-    total = sum(row[1] for row in outer)
-
-    def statistic(rank: int) -> float:
-        rows, below = outer, 0
-        while True:
-            (_, count, least, most), below = pick(rows, rank, below)
-            if least == most:
-                return least
-            if count <= bound:
-                return pick(listed(least, most), rank, below)[0][0]
-            rows = tally(least, most)
-
-    out = []
-    for p in probs:
-        position = (total - 1) * p
-        low = int(np.floor(position))
-        first = statistic(low)
-        out.append(first if position == low else first + (statistic(low + 1) - first) * (position - low))
-    return out
+    whole = (0.0, 2.0 * float(np.sqrt(extent or 0.0)) * (1 + 1e-9) + 1e-300)
+    counted = tally([whole])
+    total = sum(count for count, *_ in counted[whole])
+    if not total:
+        raise ValueError("no positive distances")
+    places = [(total - 1) * p for p in probs]
+    ranks = {r for x in places for r in (int(np.floor(x)), int(np.ceil(x)))}
+    within = {r: (whole, 0) for r in ranks}  # the band that a rank is in, and the distances before the band
+    value: dict[int, float] = {}
+    small: dict[int, tuple[tuple[float, float], int]] = {}
+
+    def settle(rank: int, rows: list, below: int) -> None:
+        """Find the rank's bin: its value, a band to list, or a band to look into."""
+        for count, least, most in rows:
+            if rank < below + count:
+                break
+            below += count
+        if least == most:
+            value[rank] = least
+        else:
+            (small if count <= bound else within)[rank] = ((least, most), below)
+
+    while within:
+        asked, within = within, {}
+        for rank, (band, below) in asked.items():
+            settle(rank, counted[band], below)
+        if within:
+            counted = tally(sorted({band for band, _ in within.values()}))
+    if small:
+        lists = listed(sorted({band for band, _ in small.values()}))
+        for rank, (band, below) in small.items():
+            settle(rank, lists[band], below)
+    low_high = [(value[int(np.floor(x))], value[int(np.ceil(x))], x - np.floor(x)) for x in places]
+    return [float(low + (high - low) * part) for low, high, part in low_high]
