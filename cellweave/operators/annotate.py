@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +32,32 @@ def shared_genes(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("symbol").distinct().join(right.select("symbol").distinct(), "symbol", "left_semi")
 
 
+@dataclass
+class Prepared:
+    """What annotation takes from an atlas, whatever the experiment: profile means, numbered profiles, complete symbols."""
+
+    means: DataFrame
+    profiles: DataFrame
+    n_profiles: int
+    symbols: DataFrame
+
+
+def prepare(atlas: DataFrame) -> Prepared:
+    """Average and number an atlas once, for any number of experiments or chunks."""
+    means = cut(atlas_mean(atlas))
+    profiles = cut(dense_index(means.select(*PROFILE).distinct(), PROFILE, "profile"))
+    count = profiles.count()
+    return Prepared(means, profiles, count, cut(complete_symbols(means, count)))
+
+
 class Matching:
     """Atlas profiles and experiment rows brought to the same numbered columns."""
 
-    def __init__(self, exp: Experiment, atlas: DataFrame):
-        means = cut(atlas_mean(atlas))
-        self.profiles = cut(dense_index(means.select(*PROFILE).distinct(), PROFILE, "profile"))
-        self.n_profiles = self.profiles.count()
+    def __init__(self, exp: Experiment, atlas: DataFrame | Prepared):
+        ready = atlas if isinstance(atlas, Prepared) else prepare(atlas)
+        means, self.profiles, self.n_profiles = ready.means, ready.profiles, ready.n_profiles
         symbols = dedup_symbols(exp.genes)
-        common = shared_genes(complete_symbols(means, self.n_profiles), symbols)
+        common = shared_genes(ready.symbols, symbols)
         common = cut(dense_index(common, ["symbol"], "column"))
         self.n_genes = common.count()
         wanted = cut(symbols.join(common, "symbol").select("gene", "column"))
@@ -69,8 +88,8 @@ class Matching:
         return self.cells.join(named.select("cell", "tissue", "type", F.col("r").alias("max_corr")), "cell", "left")
 
 
-def annotate(exp: Experiment, atlas: DataFrame) -> DataFrame:
-    """(barcode, tissue, type, max_corr): the best profile of each row, counts as given."""
+def annotate(exp: Experiment, atlas: DataFrame | Prepared) -> DataFrame:
+    """(barcode, tissue, type, max_corr): the best profile of each row, counts as given; ``atlas`` as read or prepared."""
     return Matching(exp, atlas).best().select("barcode", "tissue", "type", "max_corr")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from cellweave.model import Experiment
-from cellweave.operators.annotate import annotate
+from cellweave.operators.annotate import annotate, prepare
 
 CHUNK_SCHEMA = "cell long, barcode string, gene long, value double"
 
@@ -19,11 +19,13 @@ CHUNK_SCHEMA = "cell long, barcode string, gene long, value double"
 def annotate_stream(chunks: DataFrame, genes: DataFrame, atlas: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Annotate every micro-batch of ``chunks`` and write it to ``out`` as parquet, one folder per batch.
 
-    A batch that is retried after a failure overwrites its own folder.
+    A batch that is retried after a failure overwrites its own folder. The atlas is prepared once, before the first batch.
     """
+    known = prepare(atlas)
+
     def each(batch: DataFrame, number: int) -> None:
         exp = Experiment(batch.select("cell", "gene", "value"), batch.select("cell", "barcode").distinct(), genes)
-        annotate(exp, atlas).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+        annotate(exp, known).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
 
     return (chunks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
