@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cellweave.llm import caps, simhash
+from cellweave.llm import caps, overlap, simhash
 from cellweave.llm.components import components
 from tests.llm import reference as R
 
@@ -108,3 +108,29 @@ def test_floats_and_given_embeddings(spark):
     links, least = R.cosine_links(rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float))
     assert (found.loc[rows["vec_id"], "n_links"].to_numpy() == links).all()
     assert (found.loc[rows["vec_id"], "component_id"].to_numpy() == least).all()
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in (0, 1, 5, 63, 64, 65, 128, 129, 300, 1000, 5000):
+        for drop in (0, 1, n // 12, n // 9, n // 5):
+            a = np.unique(rng.integers(-2 ** 63, 2 ** 63, n))
+            b = np.unique(np.concatenate([a[drop:], rng.integers(-2 ** 63, 2 ** 63, drop // 2)]))
+            words, size = overlap.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+            assert (size * 64 >= [len(a), len(b)]).all() and size.sum() == len(words)
+            rows.append((words[:size[0]].tolist(), words[size[0]:].tolist(), len(np.setxor1d(a, b))))
+    pairs = spark.createDataFrame(rows, "x array<long>, y array<long>, apart int").select("*", overlap.sketch_gap("x", "y").alias("gap"))
+    found = pairs.collect()
+    assert all(r.gap <= r.apart and (r.gap - r.apart) % 2 == 0 for r in found)
+    assert sum(r.gap >= 0.8 * r.apart for r in found) > 0.9 * len(found)
+
+
+def test_overlap_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \t"), (4, "a b"), (4, "A b"), (5, "a b c d e f"), (6, "x " * 100_000), (7, "x " * 99_000)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    found = {}
+    for r in overlap.near_duplicates(docs, "id").collect():
+        found.setdefault(r.component, []).append(r.id)
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3], [4, 4], [5], [6, 7]]
+    assert overlap.near_duplicates(docs.limit(0), "id").count() == 0
