@@ -7,6 +7,7 @@ instead of a Python step for each word. All hashes wrap at 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: primes just below 2^32, each with a base of its own
+_FIELDS = ((4294967291, 2654435761), (4294967279, 3266489917))
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -109,6 +112,40 @@ def range_hash(prefix: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends:
     return mix(raw + (ends - starts).astype(np.uint64) * _MIX)
 
 
+def _modulo(x: np.ndarray, prime: int) -> np.ndarray:
+    return x - x // np.uint64(prime) * np.uint64(prime)
+
+
+def _field_powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n - 1) modulo a prime below 2^32."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _modulo(out * np.uint64(pow(base, len(out), prime)), prime)])
+    return out[:n]
+
+
+_step_powers = lru_cache(maxsize=8)(_field_powers)
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each range, from polynomials modulo two primes.
+
+    Two different ranges of at most L bytes agree in both with a chance of about (L / 2^32)^2 over the choice of bases. (A
+    polynomial modulo 2^64, as in ``range_hash``, has pairs of ranges that agree whatever its base.)
+    """
+    n = len(data)
+    lengths = (ends - starts).astype(np.uint64)
+    out = mix(lengths)
+    for prime, base in _FIELDS:
+        make, size = (_step_powers, STEP_BYTES + 1) if n <= STEP_BYTES else (_field_powers, n + 1)
+        ups, downs = make(base, prime, size), make(pow(base, -1, prime), prime, size)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_modulo((data.astype(np.uint64) + np.uint64(1)) * ups[:n], prime), out=sums[1:])
+        value = _modulo(_modulo(sums[ends] - sums[starts], prime) * downs[starts], prime)
+        out = mix(out ^ value) if prime == _FIELDS[0][0] else mix(out + (value << np.uint64(32)) + value)
+    return out
+
+
 def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
     """Hash of the ``k`` bytes from every position, by doubling; len(data) - k + 1 values."""
     n = len(data)

@@ -12,7 +12,8 @@ The count tables are partitioned by hash. A block of documents is exploded into
 in the block; these meet the other blocks' by hash, are summed there, and each block gets its n-grams' totals back,
 which it joins to its words and sums for each document. Words, bigrams and trigrams are counted apart, each by a hash of
 64 bits of its own. A frequent n-gram is one row a block, not one an occurrence, so no partition is hot. A bucket is a
-range of hashes, so that sorted keys lie close; they are stored as byte planes of their differences.
+range of hashes, so that sorted keys lie close; they are stored as byte planes of their differences. The texts of a block
+travel together and compressed.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ LEAST = 2
 FINE = 1
 _PACK = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 _PACKED = "block int, bucket int, kind int, body binary"
+#: bytes of text that a reading task gathers before it deals them to the blocks
+DEAL_BYTES = 1 << 24
 WORDS, PAIRS, TRIPLES = KINDS = 0, 1, 2
 
 
@@ -71,7 +75,7 @@ class Block:
             at = offsets[first:last + 1] - offsets[first]
             body = A.LOWER[data[offsets[first]:offsets[last]]]
             starts, ends = A.runs(~A.SPACE[body], at)
-            words.append(A.range_hash(A.prefix_hash(body), starts, ends))
+            words.append(A.word_hash(body, starts, ends))
             owners.append((first + A.owner_of(at, starts)).astype(np.int32))
         self.word, self.owner = np.concatenate(words), np.concatenate(owners)
         n = len(self.word)
@@ -99,9 +103,38 @@ class Block:
         self.word = None
 
 
+def _deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a block number -> (block, its rows of some batches as one compressed stream)."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        for block, part in A.packed(np.arange(len(table)), table["block"].to_numpy(), int(pc.max(table["block"]).as_py()) + 1):
+            sink = pa.BufferOutputStream()
+            rows = table.drop_columns("block").take(part)
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+    held, size = [], 0
+    for batch in it:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= DEAL_BYTES:
+            yield from dealt(held)
+            held, size = [], 0
+    if held:
+        yield from dealt(held)
+
+
+def _rows(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for c in table["rows"].chunks for x in c])
+
+
 def _explode(n: int):
     def run(table: pa.Table) -> pa.Table:
-        block = Block(*A.text_buffer(table["text"]))
+        block = Block(*A.text_buffer(_rows(table)["text"]))
         number = table["block"][0].as_py()
         rows = []
         for kind, keys, counts in zip(KINDS, block.keys, block.counts):
@@ -130,6 +163,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(n: int, names: list[str], total: int, backoff: float, least: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = _rows(left)
         block = Block(*A.text_buffer(left["text"]))
         totals = [np.zeros(len(keys), np.uint64) for keys in block.keys]
         place = {}
@@ -167,7 +201,8 @@ def score(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text: str =
     value = F.col(f"`{text}`").cast("string")
     names = [f"keep_{i}" for i in range(len(keep))]
     dealt = docs.select(value.alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)],
-                        F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), value), F.lit(n).cast("long")).cast("int").alias("block"))
+                        F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), value), F.lit(n).cast("long")).cast("int").alias("block")) \
+        .mapInArrow(_deal, "block int, rows binary")
 
     def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -116,3 +116,22 @@ def test_top_k_keeps_finite_vectors_of_any_size(spark):
     large = spark.createDataFrame([(0, [1e30]), (1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     kept = maxscore.top_k(large, F.col("id") == 1).collect()
     assert [(r.query_id, r.vec_id, r.score) for r in kept] == [(1, 2, 256 * 512)]
+
+
+def test_words_whose_power_of_two_hash_agrees_stay_apart(spark):
+    """A Thue-Morse word and its complement agree under every odd base modulo 2^64; they are two words all the same."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ turn] for b in bits) for turn in (0, 1))
+    found = lm.score(spark.createDataFrame([(1, one), (2, two), (3, "")], "doc_id long, text string"), ["doc_id"]).orderBy("doc_id").collect()
+    assert [(r.n_words, round(r.log_score, 6)) for r in found] == [(1, round(math.log(lm.BACKOFF ** 2 / 2), 6))] * 2 + [(0, 0.0)]
+
+
+def test_word_hash_depends_on_the_bytes_alone():
+    rng = np.random.default_rng(5)
+    for size in (40, A.STEP_BYTES + 9):
+        body = np.concatenate([np.zeros(size, np.uint8), rng.integers(0, 256, 40).astype(np.uint8)])
+        body[:20] = body[-20:]
+        starts, ends = np.array([0, size + 20, 0, 3, 7]), np.array([20, size + 40, 0, 3, 20])
+        h = A.word_hash(body, starts, ends)
+        assert h[0] == h[1] and h[2] == h[3] and len(set(h.tolist())) == 3
+        assert h[4] == A.word_hash(body[7:20], np.array([0]), np.array([13]))[0]
