@@ -25,8 +25,6 @@ BLOCK_BYTES = 32 << 20
 GRID_SLICES = 64
 # Entries of a contingency table that one task may match.
 MATCH_CELLS = 4_000_000
-# Columns whose square covariance the driver may hold.
-PCA_COLUMNS = 8192
 
 
 @dataclass(frozen=True)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cellweave.config import MATCH_CELLS, PCA_COLUMNS
-from cellweave.operators import tiles
+from cellweave.config import MATCH_CELLS
+from cellweave.operators import projection, tiles
 from cellweave.operators.keys import lookup_join
 from cellweave.operators.similarity import batch_of, distance_block, euclidean_pairs
 from cellweave.session import cut, ship
@@ -216,19 +216,14 @@ def silhouette(points: DataFrame) -> DataFrame:
 def reduce_dimensions(points: DataFrame, k: int = 32) -> DataFrame:
     """Principal-component projection of ``z`` (uncentred; distances are unaffected).
 
-    A vector of fewer columns than ``k`` keeps them all. The covariance is held by the driver, so the width is bounded.
+    A vector of fewer columns than ``k`` keeps them all. No matrix of width x width is made (see ``projection``).
     """
+    points = cut(points)
     width = points.select(F.max(F.size("z"))).first()[0]
     if not width or width <= k:
         return points
-    if width > PCA_COLUMNS:
-        raise ValueError(f"{width} columns exceed the bound of {PCA_COLUMNS} for principal components")
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    vectors = points.withColumn("_v", array_to_vector(F.col("z").cast("array<double>")))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors)
-    return model.transform(vectors).withColumn("z", vector_to_array("_p")).drop("_v", "_p")
+    axes, _, _ = projection.principal_axes(points.select("z"), k)
+    return projection.projected(points, axes)
 
 
 def unsupervised_metrics(points: DataFrame, components: int | None = 32) -> DataFrame:

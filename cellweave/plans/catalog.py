@@ -435,11 +435,20 @@ def davies_bouldin(t):
     return metrics.davies_bouldin(B.latent_points(t)).select(r6("dbs").alias("dbs"))
 
 
-@query()
+@query(f"""SELECT (SELECT round(sil, 5) FROM ({Q.PROJECTED + Q.SILHOUETTE})) AS sil,
+(SELECT round(chs, 5) FROM ({Q.PROJECTED + Q.CALINSKI})) AS chs, (SELECT round(dbs, 5) FROM ({Q.PROJECTED + Q.DAVIES})) AS dbs""")
 def unsupervised_metrics(t):
     return metrics.unsupervised_metrics(B.latent_points(t), 32)
 
 
+@query(Q.PROJECTED + "SELECT id AS vec_id, round(sqrt(list_sum(list_transform(z, lambda v: v * v))), 6) + 0.0 AS length FROM P")
+def principal_components(t):
+    """Length of each vector's projection onto the 32 leading principal directions."""
+    points = metrics.reduce_dimensions(B.latent_points(t), 32)
+    squares = F.aggregate("z", F.lit(0.0), lambda total, v: total + v * v)
+    return points.select(F.col("id").alias("vec_id"), r6(F.sqrt(squares)).alias("length"))
+
+
 @query(f"""SELECT (SELECT round(sil, 5) FROM ({Q.POINTS + Q.SILHOUETTE})) AS sil,
 (SELECT round(chs, 5) FROM ({Q.POINTS + Q.CALINSKI})) AS chs, (SELECT round(dbs, 5) FROM ({Q.POINTS + Q.DAVIES})) AS dbs""")
 def unsupervised_full_rank(t):

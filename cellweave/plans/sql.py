@@ -178,6 +178,21 @@ DN AS (SELECT id, cluster, exp((min(d2) OVER (PARTITION BY id) - d2) / 2) AS e F
 GM AS (SELECT id, cluster, greatest(e / sum(e) OVER (PARTITION BY id) * w, 1e-10) AS p FROM DN JOIN WT USING (cluster))
 """
 
+# the projector onto the 32 leading directions by trace-correcting purification: squares of a matrix with eigenvalues in 0..1,
+# taken or taken off so that the trace moves towards 32, until the matrix is its own square
+PROJECTED = """WITH RECURSIVE P0 AS (SELECT vec_id AS id, embedding::DOUBLE[] AS z, label::BIGINT AS label FROM embeddings),
+U0 AS (SELECT id, unnest(z) AS x, generate_subscripts(z, 1) AS pos FROM P0),
+C0 AS (SELECT a.pos AS i, b.pos AS j, sum(a.x * b.x) AS v FROM U0 a JOIN U0 b ON a.id = b.id GROUP BY ALL),
+R0 AS (SELECT i, list(v ORDER BY j) AS r FROM C0 GROUP BY i),
+X0 AS (SELECT list(list_transform(r, lambda v: v / t) ORDER BY i) AS m FROM R0, (SELECT max(list_sum(list_transform(r, lambda v: abs(v)))) AS t FROM R0)),
+PURE(k, m, gap) AS (SELECT 0, m, 1::DOUBLE FROM X0 UNION ALL
+  SELECT k + 1, CASE WHEN abs(tq - 32) < abs(2 * tm - tq - 32) THEN q
+    ELSE list_transform(m, lambda r, i: list_transform(r, lambda v, j: 2 * v - q[i][j])) END, abs(tm - tq)
+  FROM (SELECT *, list_sum(list_transform(m, lambda r, i: r[i])) AS tm, list_sum(list_transform(q, lambda r, i: r[i])) AS tq
+    FROM (SELECT k, m, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS q FROM PURE WHERE k < 200 AND gap > 1e-11))),
+P AS (SELECT id, list_transform(m, lambda r: list_dot_product(r, z)) AS z, label FROM P0, (SELECT m FROM PURE ORDER BY k DESC LIMIT 1)),
+""" + POINTS[POINTS.index("\n") + 1:]
+
 SILHOUETTE = """, BOTH_ AS (SELECT a.id AS i, a.label AS li, b.label AS lj, a.id = b.id AS self, list_distance(a.z, b.z) AS d FROM P a CROSS JOIN P b),
 A AS (SELECT i, li, lj, sum(d) AS s, count(*) AS n FROM BOTH_ GROUP BY ALL),
 B AS (SELECT i, max(CASE WHEN li = lj AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN li <> lj THEN s / n END) AS b FROM A GROUP BY i)
