@@ -23,6 +23,8 @@ BLOCK_ROWS = 2048
 BLOCK_BYTES = 32 << 20
 # Copies of the column table when a dense grid is made by a join.
 GRID_SLICES = 64
+# File systems that pyarrow opens on the executors; their gzip files are split at members.
+GZIP_SCHEMES = ("file",)
 # Entries of a contingency table that one task may match.
 MATCH_CELLS = 4_000_000
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellweave.config import GZIP_SCHEMES
 from cellweave.model import Experiment
+from cellweave.session import ship
+from cellweave.sources.gzip_lines import RANGE_BYTES, GzipLines
 
 # File names of an experiment and column names of the atlas.
 MATRIX_FILE, BARCODE_FILE = "matrix.mtx", "barcodes.tsv"
@@ -29,15 +32,31 @@ def find_files(spark: SparkSession, location: str) -> tuple[str, str, str]:
     return chosen
 
 
-def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+def text_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(value, _file, _split, _row): lines in the order of ``_row`` within a split of a file.
+
+    A gzip file on a file system of ``GZIP_SCHEMES`` is split at its members, any other is one task, as Spark reads it.
+    """
+    row = F.monotonically_increasing_id().alias("_row")
+    if path.endswith(".gz"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        full = system.makeQualified(where)
+        if full.toUri().getScheme() in GZIP_SCHEMES and system.exists(where) and system.getFileStatus(where).isFile():
+            ship(spark).dataSource.register(GzipLines)
+            return spark.read.format("gzip_lines").option("rangeBytes", range_bytes).load(full.toString()).select(
+                "value", F.lit(full.toString()).alias("_file"), F.col("start").alias("_split"), row)
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), row)
+
+
+def numbered_lines(spark: SparkSession, path: str, name: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(name LONG, value): lines with their 0-based number; of a folder, files follow one another by path.
 
     Lines are counted per file split; a split's rows get their number from the
     splits before it, so splits are numbered in parallel.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_row"))
+    lines = text_lines(spark, path, range_bytes)
     counts = sorted((r["_file"], r["_split"], r["count"]) for r in lines.groupBy("_file", "_split").count().collect())
     starts, total = [], 0
     for file, split, count in counts:
@@ -69,19 +88,33 @@ def read_ids(spark: SparkSession, path: str, name: str = "cell") -> DataFrame:
         name, F.when(F.instr("value", " ") > 1, F.substring_index("value", " ", 1)).otherwise(F.col("value")).alias("id"))
 
 
-def read_mtx(spark: SparkSession, path: str, integer: bool = False) -> DataFrame:
+def read_mtx(spark: SparkSession, path: str, integer: bool = False, check: bool = True) -> DataFrame:
     """(cell, gene, value) of a genes x cells coordinate file, plain or gzipped.
 
     The first line that is no comment gives the dimensions. It is told apart from
     an entry of the same text by counting, so one pass over the file is enough.
     Duplicate entries are summed; ``integer`` rejects other than whole numbers.
+    ``check`` reads the file once more, to raise unless it has as many entries as
+    its dimensions say, all of them inside.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' AND NOT startswith(line, '%')")
+    lines = text_lines(spark, path).select(F.trim("value").alias("line")).filter("line <> '' AND NOT startswith(line, '%')")
     head = lines.first()
     if head is None:
         raise ValueError(f"{path} has no dimensions line")
     size = head["line"]
     fields = F.split("line", "\\s+")
+    if check:
+        told = size.split()
+        if len(told) != 3 or not all(x.isdigit() for x in told):
+            raise ValueError(f"{path} has no dimensions line, but {size[:80]!r}")
+        genes, cells, n = map(int, told)
+        place = [F.get(fields, F.lit(k)).try_cast("long") for k in (0, 1)]
+        inside = place[0].between(1, genes) & place[1].between(1, cells)
+        found = lines.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(inside, F.lit(False)) & (F.col("line") != size)).alias("out")).first()
+        if found.n - 1 != n:
+            raise ValueError(f"{path} has {found.n - 1} entries where its dimensions say {n}")
+        if found.out:
+            raise ValueError(f"{found.out} entries of {path} lie outside its {genes} x {cells}")
     number = F.get(fields, F.lit(2))
     entries = lines.select(
         (F.get(fields, F.lit(1)).cast("long") - 1).alias("cell"), (F.get(fields, F.lit(0)).cast("long") - 1).alias("gene"),
