@@ -12,8 +12,9 @@ from cellweave.config import GMM_SETTINGS
 from cellweave.functions import network as net
 from cellweave.model import Experiment
 from cellweave.operators import autoencoder as ae
-from cellweave.operators import constraints, keys, metrics
+from cellweave.operators import constraints, forest, keys, metrics, tiles
 from cellweave.operators import normalize as N
+from cellweave.operators import similarity as S
 from cellweave.session import cut, release, shared_dir
 from cellweave.sources import readers
 
@@ -149,3 +150,24 @@ def test_tables_are_released(spark):
     assert frame.count() == 3 and any(f.startswith("cut-") for f in made)
     assert release(spark) >= 1 and not made & set(os.listdir(folder))
     assert release(spark) == 0
+
+
+def test_tiles_shuffle_no_more_for_more_blocks(spark):
+    """Tiles read the packed blocks: no exchange carries a block to each other block, and a task folds its tiles."""
+    rng = np.random.default_rng(5)
+    dense = rng.poisson(0.7, (90, 40)).astype(float)
+    expr = spark.createDataFrame([(int(i), int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense))], "cell long, gene long, value double")
+    rows = spark.range(90).select(F.col("id").alias("cell"))
+    found = []
+    for block_rows in (6, 2048):
+        sim = S.Similarity(expr, rows, 90, S._pearson_measure(40), block_rows=block_rows)
+        plan = sim.pairs()._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        found.append((sorted(map(tuple, sim.nearest(3).collect())), sorted(map(tuple, forest.kmst_graph(sim, 3).collect()))))
+    assert found[0] == found[1]
+
+
+def test_blocks_hold_a_bounded_number_of_entries():
+    assert tiles.rows_of_block(60_000, 36_000_000) == 2048
+    assert tiles.rows_of_block(1_000, 1_000 * 1_000_000) == 2
+    assert tiles.rows_of_block(0, 0) == 2048 and tiles.rows_of_block(1, 10 ** 9) == 1
