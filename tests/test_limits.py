@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.config import GMM_SETTINGS
+from cellweave.functions import expressions as X
 from cellweave.functions import network as net
 from cellweave.model import Experiment
 from cellweave.operators import autoencoder as ae
@@ -171,3 +172,23 @@ def test_blocks_hold_a_bounded_number_of_entries():
     assert tiles.rows_of_block(60_000, 36_000_000) == 2048
     assert tiles.rows_of_block(1_000, 1_000 * 1_000_000) == 2
     assert tiles.rows_of_block(0, 0) == 2048 and tiles.rows_of_block(1, 10 ** 9) == 1
+
+
+def test_likelihood_of_a_dense_grid_stays_in_the_task(spark):
+    """Array code and column expression agree; a block of the grid leaves its task as one row."""
+    rng = np.random.default_rng(3)
+    x, mean, size = rng.poisson(1.0, (20, 7)).astype(float), rng.uniform(0.1, 3, 7), rng.uniform(0.5, 2, 20)
+    found = net.zinb_nll(x, mean, 2.0, 0.1, size)
+    rows = [(float(x[c, g]), float(mean[g]), float(size[c]), float(found[c, g])) for c in range(20) for g in range(7)]
+    nll = X.zinb_nll(F.col("x"), F.col("m"), F.lit(2.0), F.lit(0.1), F.col("s"))
+    assert spark.createDataFrame(rows, "x double, m double, s double, e double").agg(F.max(F.abs(nll - F.col("e")))).first()[0] < 1e-9
+    expr = spark.createDataFrame([(c, g, float(x[c, g])) for c in range(20) for g in range(7) if x[c, g]], "cell long, gene long, value double")
+    cells = spark.createDataFrame([(c, float(size[c])) for c in range(20)], "cell long, s double")
+    genes = spark.createDataFrame([(g, 0.0, float(mean[g])) for g in range(7)], "gene long, _fill double, mean double")
+
+    def emit(ids, own, table, dense):
+        yield S.batch_of(("n", "v"), [dense.size], [net.zinb_nll(dense, table["mean"].to_numpy(), 2.0, 0.1, own["s"]).sum()])
+
+    sums = N.dense_blocks(expr.coalesce(1), cells.coalesce(1), genes, emit, "n long, v double").collect()
+    assert sum(r.n for r in sums) == 140 and len(sums) <= 4
+    assert abs(sum(r.v for r in sums) - found.sum()) < 1e-9
