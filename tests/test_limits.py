@@ -192,3 +192,14 @@ def test_likelihood_of_a_dense_grid_stays_in_the_task(spark):
     sums = N.dense_blocks(expr.coalesce(1), cells.coalesce(1), genes, emit, "n long, v double").collect()
     assert sum(r.n for r in sums) == 140 and len(sums) <= 4
     assert abs(sum(r.v for r in sums) - found.sum()) < 1e-9
+
+
+def test_entries_without_a_row_are_in_no_pair(spark):
+    """Null row keys and rows that aren't asked for take no part; a null vector raises instead of shifting the others."""
+    rows = [(0, 1, 1.0), (0, 2, 2.0), (1, 1, 3.0), (1, 3, 1.0), (None, 2, 9.0), (7, 1, 5.0)]
+    expr = spark.createDataFrame(rows, "cell long, gene long, value double")
+    sim = S.jaccard(expr, spark.range(2).select(F.col("id").alias("cell")), 2, 1.0)
+    assert [(r.i, r.j, r.r) for r in sim.pairs().collect()] == [(0, 1, 1 / 3)]
+    points = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, None, 0)], "id long, z array<double>, label long")
+    with pytest.raises(Exception, match="null or differ"):
+        S.euclidean_pairs(points, 2).collect()
