@@ -11,7 +11,9 @@ than the sets do in shingles, so a pair whose sketches differ too much can't lin
 left are verified on the two whole sets. Each set is first held against one other only, the most similar; then what is
 still open between different classes is verified, so whole sets travel about as often as there are sets, not pairs.
 
-Large groups of near copies are linked to one member first; then only pairs of different classes are drawn.
+The first shingle that a pair shares decides: all that it shares must stand from there on in both, and of shingles that the
+very same sets have, only the first is looked at. Large groups of near copies are linked to a few members first; then only
+pairs of different classes are drawn.
 """
 
 from __future__ import annotations
@@ -111,7 +113,7 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
     share = min(SHARE, max(1, docs.count() // SAMPLE))
     sample = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(share).cast("long")) == 0).distinct()
     seen = shingle_sets(sample, text).select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
-        F.count("*").alias("n")).filter("n > 2")
+        F.count("*").alias("n")).filter("n > 1")
     top = seen.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     values, counts = top["shingle"].to_numpy().astype(np.int64), top["n"].to_numpy().astype(np.int64)
     order = np.argsort(values)
@@ -205,16 +207,46 @@ def close(sets: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
     return same.union(near)
 
 
+def leading(first: DataFrame) -> DataFrame:
+    """``(shingle, members)`` of the shingles that several sets of ``first(node, place, shingle)`` have; of those that the
+    very same sets have, only the first in the common order.
+
+    The first shingle that a pair shares is the first of its kind, so no pair is lost. Members are compared by two words of
+    exclusive ors; places in the least member tell the order, as they do in any other.
+    """
+    often = first.groupBy("shingle").agg(
+        F.count("*").alias("members"), F.min("node").alias("least"), F.min_by("place", "node").alias("at"),
+        F.bit_xor("node").alias("mark"), F.bit_xor(F.xxhash64("node")).alias("other")).filter("members > 1")
+    return often.groupBy("members", "least", "mark", "other").agg(F.min_by("shingle", "at").alias("shingle")).select("shingle", "members")
+
+
 def drawn(met: DataFrame, apart: Column | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of the sets that share a shingle and that enough shingles are left to from their places on;
-    ``apart`` is a test on columns of both sides."""
+    ``apart`` is a test on columns of both sides.
+
+    A linking pair is drawn at the first shingle that it shares: none before it is common to both, so all that are must stand
+    from there on. At its other shingles the test may fail.
+    """
     rest = [c for c in ("node", "n", "place", "top") if c in met.columns]
     a, b = (met.select("shingle", *[F.col(x).alias(f"{x}_{c}") for x in rest]) for c in "ab")
-    shared = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + F.least("place_a", "place_b")
-    pairs = a.join(b, "shingle").filter((F.col("node_a") < F.col("node_b")) & (9 * shared >= 4 * (F.col("n_a") + F.col("n_b"))))
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    pairs = a.join(b, "shingle").filter((F.col("node_a") < F.col("node_b")) & (9 * left >= 4 * (F.col("n_a") + F.col("n_b"))))
     return (pairs if apart is None else pairs.filter(apart)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
+def settled(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, rows: DataFrame, row: str, text: str
+            ) -> tuple[DataFrame, DataFrame]:
+    """``links`` and enough of the ``pairs`` that link to connect what all of them connect, and the components: of each set the
+    most similar pair is verified first, then all that are still between different components."""
+    tops = None if links is None else components(links)
+    for chosen in (best_each, lambda left: left.select("a", "b")):
+        left = pairs if tops is None else between(pairs, tops)
+        found = verified(chosen(left), docs, rows, row, text)
+        links = found if links is None else links.union(found)
+        tops = components(links)
+    return links, tops
+
+
 def near_duplicates(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without ``text``, plus ``component`` (long): equal for exactly the texts that links of Jaccard
     similarity 4/5 or more of their word shingles connect. ``row`` is a column with a hash of the row, equal for equal
@@ -225,21 +257,17 @@ def near_duplicates(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     some = rows.filter("n > 0")
     sets = cut(some.select("node", "n", "sketch", "prefix").dropDuplicates(["node"]))
     first, sketches = sets.select("node", "n", F.posexplode("prefix").alias("place", "shingle")), sets.select("node", "n", "sketch")
-    often = first.groupBy("shingle").agg(F.count("*").alias("members")).filter("members > 1")
-    met = cut(first.join(often, "shingle"))
-    # crowds, by size: sets of similar size are linked to the smallest of them
+    met = cut(first.join(leading(first), "shingle"))
+    # crowds, by size: sets of similar size are held against three of them, one with the fewest shingles before the crowd's
     crowd = met.filter(F.col("members") > CROWD).withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.25))))
-    heads = crowd.groupBy("shingle", "size").agg(F.min("node").alias("head"))
-    led = crowd.join(heads, ["shingle", "size"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    heads = crowd.groupBy("shingle", "size").agg(F.array_distinct(F.array(
+        F.min(F.struct("place", "node"))["node"], F.min("node"), F.max("node"))).alias("heads"))
+    led = crowd.join(heads, ["shingle", "size"]).select(F.explode("heads").alias("a"), F.col("node").alias("b"))
     near = cut(likely(close(some).union(led).union(drawn(met.filter(F.col("members") <= CROWD))), sketches))
-    links = verified(best_each(near), docs, some, row, text)
-    tops = components(links)
+    links, tops = settled(near, None, docs, some, row, text)
+    # only pairs that these links leave in different classes are drawn from crowds
     named = met.filter(F.col("members") > CROWD).join(tops, "node", "left").withColumn("top", F.coalesce("component", "node"))
-    far = likely(drawn(named, F.col("top_a") != F.col("top_b")), sketches)
-    open_ = cut(between(near, tops).union(far).distinct())
-    links = links.union(verified(best_each(open_), docs, some, row, text))
-    tops = components(links)
-    links = links.union(verified(between(open_, tops).select("a", "b"), docs, some, row, text))
-    tops = components(links)
+    far = cut(likely(drawn(named, F.col("top_a") != F.col("top_b")), sketches))
+    tops = settled(far, links, docs, some, row, text)[1]
     rest = [c for c in docs.columns if c != text]
     return rows.select(*rest, "node").join(tops, "node", "left").select(*rest, F.coalesce("component", "node").alias("component"))

@@ -134,3 +134,42 @@ def test_overlap_of_odd_rows(spark):
         found.setdefault(r.component, []).append(r.id)
     assert sorted(map(sorted, found.values())) == [[1, 2, 3], [4, 4], [5], [6, 7]]
     assert overlap.near_duplicates(docs.limit(0), "id").count() == 0
+
+
+def test_a_crowd_of_near_copies_draws_few_pairs_and_loses_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.integers(0, 150, i % 9):
+            words[at] = f"n{rng.integers(1 << 40)}"
+        texts.append(words)
+    texts += [[f"o{i}_{j}" for j in range(8)] + passage for i in range(60)]
+    sets = [{tuple(words[k:k + 5]) for k in range(len(words) - 4)} for words in texts]
+    least = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if least[i] != least[j] and 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    counts, plain = [], overlap.drawn
+
+    def counted(*args):
+        counts.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(overlap, "drawn", counted)
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "id long, text string")
+    found = overlap.near_duplicates(docs, "id").toPandas()
+    assert len(found) == len(texts)
+    assert found.groupby("component")["id"].min().loc[found["component"]].tolist() == [least[i] for i in found["id"]]
+    assert sum(counts) < 4 * len(texts)
+
+
+def test_of_shingles_with_the_same_sets_the_first_leads(spark):
+    rows = [(1, 0, 10), (1, 1, 11), (1, 2, 12), (2, 1, 10), (2, 2, 11), (2, 4, 12), (3, 0, 12), (4, 0, 13)]
+    found = overlap.leading(spark.createDataFrame(rows, "node long, place int, shingle long")).collect()
+    assert sorted((r.shingle, r.members) for r in found) == [(10, 2), (12, 3)]
