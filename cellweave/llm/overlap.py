@@ -234,14 +234,14 @@ def drawn(met: DataFrame, apart: Column | None = None) -> DataFrame:
     return (pairs if apart is None else pairs.filter(apart)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def settled(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, rows: DataFrame, row: str, text: str
-            ) -> tuple[DataFrame, DataFrame]:
-    """``links`` and enough of the ``pairs`` that link to connect what all of them connect, and the components: of each set the
-    most similar pair is verified first, then all that are still between different components."""
-    tops = None if links is None else components(links)
-    for chosen in (best_each, lambda left: left.select("a", "b")):
+def settled(pairs: DataFrame, links: DataFrame | None, tops: DataFrame | None, docs: DataFrame, rows: DataFrame, row: str,
+            text: str) -> tuple[DataFrame, DataFrame]:
+    """``links`` with the components ``tops``, and enough of the ``pairs`` that link to connect what all of them connect. If
+    pairs are many for their sets, of each set the most similar one is verified first, then what is still open."""
+    n, sets = pairs.agg(F.count("*"), F.count_distinct("b")).first()
+    for chosen in (best_each, None) if n > 2 * sets else (None,):
         left = pairs if tops is None else between(pairs, tops)
-        found = verified(chosen(left), docs, rows, row, text)
+        found = verified(chosen(left) if chosen else left.select("a", "b"), docs, rows, row, text)
         links = found if links is None else links.union(found)
         tops = components(links)
     return links, tops
@@ -261,13 +261,13 @@ def near_duplicates(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     # crowds, by size: sets of similar size are held against three of them, one with the fewest shingles before the crowd's
     crowd = met.filter(F.col("members") > CROWD).withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.25))))
     heads = crowd.groupBy("shingle", "size").agg(F.array_distinct(F.array(
-        F.min(F.struct("place", "node"))["node"], F.min("node"), F.max("node"))).alias("heads"))
+        F.min_by("node", "place"), F.min("node"), F.max("node"))).alias("heads"))
     led = crowd.join(heads, ["shingle", "size"]).select(F.explode("heads").alias("a"), F.col("node").alias("b"))
     near = cut(likely(close(some).union(led).union(drawn(met.filter(F.col("members") <= CROWD))), sketches))
-    links, tops = settled(near, None, docs, some, row, text)
+    links, tops = settled(near, None, None, docs, some, row, text)
     # only pairs that these links leave in different classes are drawn from crowds
     named = met.filter(F.col("members") > CROWD).join(tops, "node", "left").withColumn("top", F.coalesce("component", "node"))
     far = cut(likely(drawn(named, F.col("top_a") != F.col("top_b")), sketches))
-    tops = settled(far, links, docs, some, row, text)[1]
+    tops = settled(far, links, tops, docs, some, row, text)[1]
     rest = [c for c in docs.columns if c != text]
     return rows.select(*rest, "node").join(tops, "node", "left").select(*rest, F.coalesce("component", "node").alias("component"))
