@@ -203,3 +203,18 @@ def test_entries_without_a_row_are_in_no_pair(spark):
     points = spark.createDataFrame([(0, [1.0, 2.0], 0), (1, None, 0)], "id long, z array<double>, label long")
     with pytest.raises(Exception, match="null or differ"):
         S.euclidean_pairs(points, 2).collect()
+
+
+@pytest.mark.parametrize("rows", [300, 4])
+def test_quantiles_look_where_a_few_rows_point(spark, monkeypatch, rows):
+    """Two passes over all pairs when the guess holds; the same values, in more passes, when it does not."""
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(400, 3))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "id long, z array<double>")
+    runs, run = [], tiles.run_vector_tiles
+    monkeypatch.setattr(tiles, "run_vector_tiles", lambda *a, **k: runs.append(1) or run(*a, **k))
+    monkeypatch.setattr(S, "_GUESS_ROWS", rows, raising=False)
+    flat = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))[np.triu_indices(400, 1)]
+    found = S.distance_quantiles(points, 400, [0.25, 0.75], bins=64, bound=1000)
+    assert found == pytest.approx(np.quantile(flat, [0.25, 0.75]), abs=1e-9)
+    assert rows == 4 or len(runs) == 2
