@@ -218,3 +218,23 @@ def test_quantiles_look_where_a_few_rows_point(spark, monkeypatch, rows):
     found = S.distance_quantiles(points, 400, [0.25, 0.75], bins=64, bound=1000)
     assert found == pytest.approx(np.quantile(flat, [0.25, 0.75]), abs=1e-9)
     assert rows == 4 or len(runs) == 2
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_silhouette_sends_few_sums_however_many_labels(spark, monkeypatch, copies):
+    """Of a label that a task has whole only the least mean leaves it; ids that come twice are told apart by nothing."""
+    rng = np.random.default_rng(8)
+    label = np.append(np.arange(640) % 64, [900, -5])  # two labels of one point each
+    z = rng.normal(size=(len(label), 4)) + label[:, None] % 5
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(z, label))] * copies
+    points = spark.createDataFrame(rows, "id long, z array<double>, label long")
+    made, run = [], tiles.run_vector_tiles
+    monkeypatch.setattr(tiles, "run_vector_tiles", lambda *a, **k: made.append(run(*a, **k)) or made[-1])
+    d, one = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)), label[None, :] == np.unique(label)[:, None]
+    sums, n = copies * d @ one.T, copies * one.sum(1)
+    own = one.T
+    a, b = sums[own] / np.maximum((n * own).sum(1) - 1, 1), np.where(own, np.inf, sums / n).min(1)
+    s = np.where((n * own).sum(1) == 1, 0.0, (b - a) / np.maximum(a, b))
+    assert metrics.silhouette(points).first()["sil"] == pytest.approx(s.mean(), abs=1e-9)
+    if copies == 1:
+        assert made[0].count() < 40 * len(label)
