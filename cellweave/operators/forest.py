@@ -21,6 +21,8 @@ from cellweave.operators.keys import lookup_join
 from cellweave.operators.similarity import Similarity, batch_of, oriented_pairs
 from cellweave.session import cut
 
+# Pairs of a tile that are listed at a time.
+SLICE_PAIRS = 1 << 19
 EDGE_SCHEMA = "i long, j long, cost double, round int"
 TAGGED = ("bi", "bj", "i", "j", "cost")
 
@@ -103,11 +105,16 @@ def kmst_graph(sim: Similarity, k: int, threshold: float = 0.0, inverse: bool =
         score = measure(tile)
         if not score.size:
             return
-        i, j, r = oriented_pairs(tile, score, slice(0, score.shape[0]))
-        keep = r > threshold
-        i, j, r = i[keep], j[keep], r[keep]
-        cost = 1.0 - r if inverse else r
-        pick, _ = first_fit(i, j, cost, k)
+        kept, step = [], max(1, SLICE_PAIRS // score.shape[1])
+        for lo in range(0, score.shape[0], step):  # a slice's pairs are pruned before the next are listed
+            i, j, r = oriented_pairs(tile, score, slice(lo, min(lo + step, score.shape[0])))
+            keep = r > threshold
+            i, j, r = i[keep], j[keep], r[keep]
+            cost = 1.0 - r if inverse else r
+            pick, _ = first_fit(i, j, cost, k)
+            kept.append((i[pick], j[pick], cost[pick]))
+        i, j, cost = (np.concatenate(c) for c in zip(*kept))
+        pick = first_fit(i, j, cost, k)[0] if len(kept) > 1 else np.arange(len(i))
         bi, bj = (np.full(len(pick), g, np.int32) for g in tile.group)
         yield batch_of(TAGGED, bi, bj, i[pick], j[pick], cost[pick])
 

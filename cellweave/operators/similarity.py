@@ -31,8 +31,11 @@ def _pearson_measure(n: int) -> Measure:
         var_l, var_r = n * l2 - l1 * l1, n * r2 - r1 * r1
         var_l[var_l <= 1e-12 * n * l2] = np.nan
         var_r[var_r <= 1e-12 * n * r2] = np.nan
-        r = (n * tile.gram - np.outer(l1, r1)) / np.sqrt(np.outer(var_l, var_r))
-        return np.round(np.clip(r, -1.0, 1.0), DECIMALS)
+        r, other = n * tile.gram, np.outer(l1, r1)
+        r -= other
+        np.multiply.outer(var_l, var_r, out=other)
+        r /= np.sqrt(other, out=other)
+        return np.round(np.clip(r, -1.0, 1.0, out=r), DECIMALS, out=r)
     return measure
 
 
@@ -60,7 +63,7 @@ def oriented_pairs(tile: Tile, score: np.ndarray, rows: slice):
     """Ids and scores of the tile's pairs for a slice of its left rows, i < j."""
     mask = np.ones((rows.stop - rows.start, score.shape[1]), dtype=bool)
     if tile.diagonal:
-        mask = np.triu(np.ones(score.shape, dtype=bool), 1)[rows]
+        mask = np.arange(rows.start, rows.stop)[:, None] < np.arange(score.shape[1])[None, :]
     a, b = np.nonzero(mask)
     left, right = tile.left[rows][a], tile.right[b]
     return np.minimum(left, right), np.maximum(left, right), score[rows][a, b]

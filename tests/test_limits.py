@@ -238,3 +238,26 @@ def test_silhouette_sends_few_sums_however_many_labels(spark, monkeypatch, copie
     assert metrics.silhouette(points).first()["sil"] == pytest.approx(s.mean(), abs=1e-9)
     if copies == 1:
         assert made[0].count() < 40 * len(label)
+
+
+def test_forest_lists_few_pairs_of_a_tile_at_a_time(spark, monkeypatch):
+    """Whatever the size of a tile, the pairs listed at once are bounded, and the forest is that of the whole tile."""
+    rng = np.random.default_rng(9)
+    dense = rng.poisson(1.0, (120, 30)).astype(float)
+    expr = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(dense) if v], "cell long, gene long, value double")
+    sim = S.pearson(expr, spark.range(120).withColumnRenamed("id", "cell"), 120, 30)
+    sizes, listed = [], forest.oriented_pairs
+    monkeypatch.setattr(forest, "oriented_pairs", lambda tile, score, rows: sizes.append((rows.stop - rows.start) * score.shape[1]) or listed(tile, score, rows))
+    monkeypatch.setattr(forest, "SLICE_PAIRS", 1000, raising=False)
+    kept = []
+    monkeypatch.setattr(forest, "merge_forests", lambda edges, k: edges)
+    monkeypatch.setattr(sim, "_run", lambda consumer, *a, **k: kept.append(consumer))
+    forest.kmst_graph(sim, 3)
+    gram, stats = dense @ dense.T, np.stack([dense.sum(1), (dense ** 2).sum(1), (dense > 0).sum(1), dense.sum(1)])
+    tile = tiles.Tile(np.arange(120), np.arange(120), stats, stats.copy(), gram, None, True)
+    batch, = kept[0](tile)
+    assert max(sizes) <= 1000
+    r = np.round(np.corrcoef(dense), 12)
+    i, j = np.nonzero(np.triu(r > 0, 1))
+    pick, _ = forest.first_fit(i, j, 1 - r[i, j], 3)
+    assert set(zip(batch.column("i").to_pylist(), batch.column("j").to_pylist())) == set(zip(i[pick].tolist(), j[pick].tolist()))
