@@ -169,3 +169,28 @@ def test_estimated_clusters(groups):
 def test_oversized_models_are_refused():
     with pytest.raises(ValueError):
         ae.check_size(1 << 40)
+
+
+@pytest.mark.parametrize("dtype", [np.float32, np.float64])
+def test_shards_send_their_arrays_as_they_are(dtype):
+    arrays = {"w": np.arange(700_000, dtype=dtype).reshape(700, 1000), "t": np.array([3.0]), "none": np.zeros(0, dtype)}
+    rows = [r for b in ae._emit(arrays, 5, 2) for r in b.to_pylist()]
+    assert sum(len(r["values"]) for r in rows) == sum(a.nbytes for a in arrays.values())
+    for name in ("w", "t"):
+        found = np.concatenate([np.frombuffer(r["values"], r["kind"]) for r in rows if r["name"] == name])
+        assert found.dtype == arrays[name].dtype and np.array_equal(found, arrays[name].ravel())
+
+
+def test_slices_give_what_whole_batches_give(monkeypatch):
+    _, raw, size, rng = batch()
+    outputs = [rng.normal(size=raw.shape) for _ in range(3)]
+    found = []
+    for values in (1, 13, 1 << 20):
+        monkeypatch.setattr(net, "_SLICE", values)
+        heads, p, state = [o.copy() for o in outputs], {"w": raw.copy()}, {}
+        loss = net._heads(raw, *heads, size)
+        net.adam_step(p, {"w": heads[0]}, state, 0.1)
+        net.adadelta_step(p, {"w": heads[1]}, state, 0.1, 0.9)
+        found.append((loss, *heads, p["w"], *(state[k] for k in sorted(state))))
+    for other in found[1:]:
+        assert all(np.array_equal(x, y) for x, y in zip(found[0], other))
