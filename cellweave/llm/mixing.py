@@ -61,7 +61,7 @@ def prefix_sums(df: DataFrame, group: str | None, order: list[Column], value: st
                                              [*names, "part__", "running__"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    sorted_rows = cut(ranged.mapInArrow(run, f"{fields}, part__ int, running__ long"))
+    sorted_rows = cut(ranged.mapInArrow(A.lean(run), f"{fields}, part__ int, running__ long"))
     group_key = F.col(group) if group else F.lit(0)
     totals = sorted_rows.groupBy("part__", group_key.alias("group__")).agg(F.sum(value).alias("total__"))
     window = Window.partitionBy("group__").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,7 +139,7 @@ def first_words(docs: DataFrame, count: str, text: str = "text") -> DataFrame:
             columns[t] = pa.array(cuts, batch.schema.field(t).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(A.lean(run), docs.schema)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:

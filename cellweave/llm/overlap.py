@@ -57,7 +57,7 @@ def _rows(docs: DataFrame, text: str, added: str, make, stays=None) -> DataFrame
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(rest)], *make(hashes, count)], names)
 
-    return frame.mapInArrow(run, fields + added)
+    return frame.mapInArrow(A.lean(run), fields + added)
 
 
 def distinct_shingles(hashes: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

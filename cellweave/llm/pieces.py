@@ -302,7 +302,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[s
                  pa.array(same)], [*keep, *new])
 
     fields = "".join(f"`{c}` {frame.schema[c].dataType.simpleString()}, " for c in keep)
-    return frame.mapInArrow(run, f"{fields}ids array<int>, n_ids long, round_trip boolean")
+    return frame.mapInArrow(A.lean(run), f"{fields}ids array<int>, n_ids long, round_trip boolean")
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
@@ -321,4 +321,4 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], texts], [*keep, "text"])
 
     fields = "".join(f"`{c}` {frame.schema[c].dataType.simpleString()}, " for c in keep)
-    return frame.mapInArrow(run, f"{fields}text string")
+    return frame.mapInArrow(A.lean(run), f"{fields}text string")

@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: in
             fp = text_fingerprints(data, offsets, shingle, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(fp.view(np.int64))], [*rest, "fp"])
 
-    return frame.mapInArrow(run, f"{fields}, fp long" if rest else "fp long")
+    return frame.mapInArrow(A.lean(run), f"{fields}, fp long" if rest else "fp long")
 
 
 def group_stars(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +174,7 @@ def links(found: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFra
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return small.union(large).repartition(n, "v", "key", "w", "sub").mapInArrow(run, "a long, b long")
+    return small.union(large).repartition(n, "v", "key", "w", "sub").mapInArrow(A.lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS,

@@ -433,11 +433,11 @@ def remove_repeats(docs: DataFrame, keep: list[str], id_col: str = "doc_id", tex
     names = [f"keep_{i}" for i in range(len(keep))]
     dealt = docs.select(uid, value.alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)]).withColumn(
         "bucket", F.pmod("uid", F.lit(n).cast("long")).cast("int"))
-    met = docs.select(uid, value.alias("text")).mapInArrow(_find(n, length, gram), _PACKED)
-    flags = A.by_bucket(met, parts).mapInArrow(_classify(n), _PACKED)
+    met = docs.select(uid, value.alias("text")).mapInArrow(A.lean(_find(n, length, gram)), _PACKED)
+    flags = A.by_bucket(met, parts).mapInArrow(A.lean(_classify(n)), _PACKED)
     picked = dealt.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(_pick(n, length), _PACKED)
-    sorted_ = A.by_bucket(picked, parts).mapInArrow(_sort(n, length), _PACKED)
-    spans = A.by_bucket(sorted_, parts).mapInArrow(_meet(n), _PACKED)
+    sorted_ = A.by_bucket(picked, parts).mapInArrow(A.lean(_sort(n, length)), _PACKED)
+    spans = A.by_bucket(sorted_, parts).mapInArrow(A.lean(_meet(n)), _PACKED)
     fields = "".join(f"`{k}` {docs.schema[c].dataType.simpleString()}, " for c, k in zip(keep, names))
     result = dealt.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(
         _cut(names, length, digest), f"{fields}n_bytes long, n_removed long, n_spans long, kept string")

@@ -88,7 +88,7 @@ def _counts(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[1, part].astype(np.int64)),
                                               pa.array(total[0, part].astype(np.int64))], ["feature", "p", "u"])
 
-    return sample.select("known", "text").mapInArrow(run, "feature long, p long, u long").groupBy("feature").agg(
+    return sample.select("known", "text").mapInArrow(A.lean(run), "feature long, p long, u long").groupBy("feature").agg(
         F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
@@ -106,7 +106,7 @@ def _hits(sample: DataFrame, features: np.ndarray) -> DataFrame:
                     rows[text[0] + k] = rank[cuts[k]:cuts[k + 1]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int16()))], ["known", "hits"])
 
-    return sample.select("known", "text").mapInArrow(run, "known int, hits array<smallint>")
+    return sample.select("known", "text").mapInArrow(A.lean(run), "known int, hits array<smallint>")
 
 
 def _lookup(features: np.ndarray) -> np.ndarray:
@@ -211,4 +211,4 @@ def score(docs: DataFrame, model: PuModel, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(rest)], pa.array(value)], [*rest, "score"])
 
     fields = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in rest)
-    return frame.mapInArrow(run, f"{fields}, score double")
+    return frame.mapInArrow(A.lean(run), f"{fields}, score double")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellweave.llm import chat, maxscore, mixing, queries
+from cellweave.llm import arrays, chat, maxscore, mixing, queries
 from tests import oracle
 
 SF = "/root/testdata/sf0.01"
@@ -146,3 +146,32 @@ def test_pipeline_of_odd_rows(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_tasks_give_back_the_memory_that_they_have_freed():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def work(batches):
+        for batch in batches:
+            many = [bytes(2000) for _ in range(60_000)]
+            kept.append([bytes(2000) for _ in range(50)])  # holds the end of the heap, so that it can't shrink by itself
+            del many
+            held.append(resident())
+            yield batch
+
+    kept, held = [], []
+    assert list(arrays.lean(work)(iter([1, 2]))) == [1, 2]
+    assert resident() < max(held) - (60 << 20)
+
+
+def test_a_task_that_is_left_early_or_fails_gives_back_too(monkeypatch):
+    calls = []
+    monkeypatch.setattr(arrays, "give_back", lambda: calls.append(1))
+    early = arrays.lean(lambda it: (x for x in it))(iter([1, 2]))
+    assert next(early) == 1
+    early.close()
+    with pytest.raises(ZeroDivisionError):
+        list(arrays.lean(lambda it: (1 // x for x in it))(iter([0])))
+    assert len(calls) == 2
