@@ -232,21 +232,17 @@ def jaccard(expr: DataFrame, rows: DataFrame, n_rows: int, minimum: float = 5.0)
 
 # --- two-sided -----------------------------------------------------------------------
 
-def _against_few(left: DataFrame, right: DataFrame, n_genes: int, left_rows: DataFrame, right_rows: DataFrame, emit) -> DataFrame:
-    """Correlations with a right side of checked size: its matrix goes to every task, left rows stay where they are."""
-    ship(left.sparkSession)
-    others = np.sort(right_rows.select(F.col("cell").cast("long")).toPandas().iloc[:, 0].to_numpy())
-    table = right.select("cell", "gene", "value").toPandas()
-    genes, slot = np.unique(table["gene"].to_numpy(np.int64), return_inverse=True)
-    dense = np.zeros((len(genes) + 1, len(others)))  # the last row stands for columns the right side lacks
-    np.add.at(dense, (slot, np.searchsorted(others, table["cell"].to_numpy(np.int64))), table["value"].to_numpy(float))
+# Products of entries, or scores, that a task makes at a time against few right rows; one left row's may be more.
+FEW_VALUES = 1 << 20
+
+
+def _few_work(genes: np.ndarray, others: np.ndarray, dense: np.ndarray, measure: Measure, emit):
+    """A task's function over packed left rows against ``others``, whose values of ``genes`` are the rows of ``dense``.
+
+    Products are made ``FEW_VALUES`` at a time, so beyond the batch itself a worker's memory follows neither its rows nor its entries.
+    """
     r1, r2 = dense.sum(0), (dense * dense).sum(0)
-    entry = F.collect_list(F.struct(F.col("gene").cast("long").alias("gene"), F.col("value").cast("double").alias("value"))).alias("e")
-    packed = left_rows.select(F.col("cell").cast("long").alias("cell")).join(
-        left.groupBy(F.col("cell").cast("long").alias("cell")).agg(entry), "cell", "left").select(
-        "cell", F.coalesce(F.col("e.gene"), F.array().cast("array<long>")).alias("genes"),
-        F.coalesce(F.col("e.value"), F.array().cast("array<double>")).alias("values"))
-    measure, width = _pearson_measure(n_genes), max(1, len(others))
+    width = max(1, len(others))
 
     def work(batches):
         for batch in batches:
@@ -258,7 +254,7 @@ def _against_few(left: DataFrame, right: DataFrame, n_genes: int, left_rows: Dat
             first = 0
             while first < len(ids):
                 start = ends[first] - lengths[first]
-                last = max(first + 1, int(np.searchsorted(ends, start + 4_000_000 // width, "right")))
+                last = max(first + 1, min(first + FEW_VALUES // width, int(np.searchsorted(ends, start + FEW_VALUES // width, "right"))))
                 part, rows = slice(start, ends[last - 1]), lengths[first:last]
                 some, cuts = np.flatnonzero(rows), np.cumsum(rows) - rows
                 gram, l1, l2 = np.zeros((last - first, len(others))), np.zeros(last - first), np.zeros(last - first)
@@ -269,7 +265,23 @@ def _against_few(left: DataFrame, right: DataFrame, n_genes: int, left_rows: Dat
                 yield from emit(ids[first:last], others, measure(SimpleNamespace(gram=gram, left_stats=(l1, l2), right_stats=(r1, r2))))
                 first = last
 
-    return packed.mapInArrow(work, PAIR_SCHEMA)
+    return work
+
+
+def _against_few(left: DataFrame, right: DataFrame, n_genes: int, left_rows: DataFrame, right_rows: DataFrame, emit) -> DataFrame:
+    """Correlations with a right side of checked size: its matrix goes to every task, left rows stay where they are."""
+    ship(left.sparkSession)
+    others = np.sort(right_rows.select(F.col("cell").cast("long")).toPandas().iloc[:, 0].to_numpy())
+    table = right.select("cell", "gene", "value").toPandas()
+    genes, slot = np.unique(table["gene"].to_numpy(np.int64), return_inverse=True)
+    dense = np.zeros((len(genes) + 1, len(others)))  # the last row stands for columns the right side lacks
+    np.add.at(dense, (slot, np.searchsorted(others, table["cell"].to_numpy(np.int64))), table["value"].to_numpy(float))
+    entry = F.collect_list(F.struct(F.col("gene").cast("long").alias("gene"), F.col("value").cast("double").alias("value"))).alias("e")
+    packed = left_rows.select(F.col("cell").cast("long").alias("cell")).join(
+        left.groupBy(F.col("cell").cast("long").alias("cell")).agg(entry), "cell", "left").select(
+        "cell", F.coalesce(F.col("e.gene"), F.array().cast("array<long>")).alias("genes"),
+        F.coalesce(F.col("e.value"), F.array().cast("array<double>")).alias("values"))
+    return packed.mapInArrow(_few_work(genes, others, dense, _pearson_measure(n_genes), emit), PAIR_SCHEMA)
 
 
 def _few(n_right: int, n_genes: int, left_rows: DataFrame | None, right_rows: DataFrame | None) -> bool:

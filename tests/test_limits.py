@@ -1,10 +1,13 @@
 """Bounds, refusals and independence of partitioning."""
 
 import os
+import tracemalloc
 import warnings
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,3 +264,30 @@ def test_forest_lists_few_pairs_of_a_tile_at_a_time(spark, monkeypatch):
     i, j = np.nonzero(np.triu(r > 0, 1))
     pick, _ = forest.first_fit(i, j, 1 - r[i, j], 3)
     assert set(zip(batch.column("i").to_pylist(), batch.column("j").to_pylist())) == set(zip(i[pick].tolist(), j[pick].tolist()))
+
+
+def test_matching_against_few_rows_holds_few_products_at_a_time():
+    rng, n, each, width = np.random.default_rng(5), 10_000, 40, 75
+    genes = np.arange(64)
+    dense = np.vstack([rng.integers(1, 50, (64, width)), np.zeros(width)]).astype(float)
+    lengths = np.where(np.arange(n) % 3, each, 0)  # some rows have no entry
+    found = np.concatenate([np.sort(rng.choice(70, m, replace=False)) for m in lengths])
+    values = rng.integers(1, 50, len(found)).astype(float)
+    cuts = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.ListArray.from_arrays(cuts, pa.array(found)),
+                                        pa.ListArray.from_arrays(cuts, pa.array(values))], ["cell", "genes", "values"])
+    best = lambda ids, others, score: [(ids, np.nan_to_num(score, nan=-2.0).argmax(1), score)]
+    work = S._few_work(genes, np.arange(width), dense, S._pearson_measure(64), best)
+    tracemalloc.start()
+    ids = [r[0] for r in work(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(np.concatenate(ids), np.arange(n))
+    assert peak < 60 << 20
+    full = np.zeros((n, 71))
+    full[np.repeat(np.arange(n), lengths), found] = values
+    for rows, _, score in work(iter([batch])):
+        l = full[rows]
+        whole = lambda x: (x.sum(-1), (x * x).sum(-1))
+        wanted = S._pearson_measure(64)(SimpleNamespace(gram=l[:, :64] @ dense[:64], left_stats=whole(l), right_stats=whole(dense.T)))
+        assert np.allclose(score, wanted, equal_nan=True)
