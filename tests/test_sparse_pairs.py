@@ -98,3 +98,19 @@ def test_rows_without_clusters_are_not_placed_around_pivots(spark, monkeypatch):
     found = {(e.i, e.j): e["round"] for e in forest.kmst_graph(sim, 2).collect()}
     assert sim.skipped == 0 and matched and sum(matched) < 300
     assert found == by_hand(dense, 2)
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_best_places_are_the_first_of_a_stable_order(monkeypatch, k):
+    monkeypatch.setattr(S, "RANKED", 50)
+    rng = np.random.default_rng(k)
+    score = np.round(rng.normal(size=(30, 17)) * 3) / 1e4  # many ties
+    score[rng.random(score.shape) < 0.2] = np.nan
+    score[4] = np.nan
+    monkeypatch.setattr(np, "argsort", None)  # whole rows are never sorted
+    found = set(zip(*(c.tolist() for c in S._best_places(score, k))))
+    expected = set()
+    for i, row in enumerate(score.tolist()):
+        ranked = sorted((j for j in range(17) if row[j] == row[j]), key=lambda j: (-int(round(row[j] * 1e4, 6)), j))
+        expected |= {(i, j) for j in ranked[:k]}
+    assert found == expected
